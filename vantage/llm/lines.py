@@ -69,7 +69,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         windows.groupBy("fingerprint", "content").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest <> latest").drop("latest"),
         "line-matches",
     )
-    later = windows.join(shared.df, ["fingerprint", "content"]).where(~place.eqNullSafe(F.col("earliest"))).select("key", "first", "last")
+    later = windows.join(shared.df.hint("merge"), ["fingerprint", "content"]).where(~place.eqNullSafe(F.col("earliest"))).select("key", "first", "last")
     order = W.partitionBy("key").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = later.withColumn("opens", F.coalesce((F.col("first") > reach + 1).cast("int"), F.lit(1))).withColumn("island", F.sum("opens").over(order))
@@ -96,7 +96,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))
     ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.col("n_lines")))
     stretches = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))), lambda x: x["n"] > 0)
-    joined = rows.join(runs, "key", "left").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n)).withColumn("lines", F.when(F.col("runs").isNotNull(), lines))
+    joined = rows.join(runs.hint("merge"), "key", "left").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n)).withColumn("lines", F.when(F.col("runs").isNotNull(), lines))
     kept = F.array_join(F.transform(stretches, lambda x: F.array_join(F.slice(F.col("lines"), x["a"] + 1, x["n"]), "\n")), "\n")
     gone = F.aggregate("runs", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1)
     return joined.select(
