@@ -20,13 +20,13 @@ ID = "doc_id"
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs less the rows whose id is in gone (id); only the ids, written down before, are joined."""
     ids = materialise(gone.select(F.col("id").alias("__gone")).distinct(), "pipeline-ids")
-    return docs.join(ids, docs[ID].eqNullSafe(ids["__gone"]), "left_anti")
+    return docs.join(ids.hint("merge"), docs[ID].eqNullSafe(ids["__gone"]), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking rejects go."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, quality.score(docs, model).where("predicted = 0"))
+    return docs.where(quality.score_column(model, "text") >= quality.CUT)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rated, _ = mixing.mix(docs, labelled, MIX_WEIGHTS)
     times = rated.groupBy("id").agg(F.max(mixing.copies(F.col("rate"), F.col("id"))).alias("__times"))
     other = materialise(times.where("__times <> 1"), "pipeline-times")  # most are taken once
-    joined = docs.join(other, docs[ID].eqNullSafe(other["id"]), "left").drop(other["id"])
-    again = F.explode(F.sequence(F.lit(1), F.col("__times")))
-    once = joined.where("__times IS NULL")
-    more = joined.where("__times > 1").withColumn("__n", again)
-    return once.drop("__times").union(more.drop("__times", "__n"))
+    joined = docs.join(other.hint("merge"), docs[ID].eqNullSafe(other["id"]), "left").drop(other["id"])
+    taken = joined.withColumn("__n", F.explode(F.sequence(F.lit(0), F.coalesce("__times", F.lit(1)))))
+    return taken.where("__n > 0").drop("__times", "__n")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,12 @@ difference of their features, and a threshold at a quantile of the scores."""
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import require
@@ -126,14 +125,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_ranking(x, y, counts[0] / max(1, counts[0] + counts[1]))
 
 
+def score_column(model: Ranking, text_col: str) -> Column:
+    """The score of a whole text, 0 to 1; null and blank texts have one too."""
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([features(t) for t in texts])) if len(texts) else [], dtype=float)
+
+    return F.pandas_udf(batch, "double")(text_col)
+
+
 def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) per row of docs, from the whole text only. Null and blank texts
     have a score too; null ids and repeated rows stay. Without labels of both classes all texts are kept."""
     require(docs, id_col, text_col)
-
-    def batch(texts: pd.Series) -> pd.Series:
-        rows: Iterable[list[float]] = [features(t) for t in texts]
-        return pd.Series(model.score(np.array(rows)) if len(texts) else [])
-
-    scored = docs.select(F.col(id_col).alias("id"), F.pandas_udf(batch, "double")(text_col).alias("score"))
+    scored = docs.select(F.col(id_col).alias("id"), score_column(model, text_col).alias("score"))
     return scored.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -72,7 +72,7 @@ def with_originals(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
     )
     groups = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.max("id").alias("original"), F.count("*").alias("n"))
     originals = Table(groups.where("n > 1").drop("n"), "warc-originals").df
-    return keyed.join(originals, "digest", "left").select("id", "url", "html", F.when(F.col("id") < F.col("original"), F.col("original")).alias("refers_to"))
+    return keyed.join(originals.hint("merge"), "digest", "left").select("id", "url", "html", F.when(F.col("id") < F.col("original"), F.col("original")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", html_col: str = "html", roll: int = ROLL) -> DataFrame:
