@@ -1 +1 @@
-"""Dominance queries on Spark."""
+"""Column expressions: dominance and geometry."""

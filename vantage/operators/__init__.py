@@ -1 +1 @@
-"""Dominance queries on Spark."""
+"""Skyline, scores and rankings."""

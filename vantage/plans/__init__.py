@@ -1 +1 @@
-"""Dominance queries on Spark."""
+"""Whole runs and the registered queries."""

@@ -1 +1 @@
-"""Dominance queries on Spark."""
+"""Points in and out."""

@@ -1 +1 @@
-"""Dominance queries on Spark."""
+"""Skylines of streams."""
