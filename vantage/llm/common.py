@@ -84,6 +84,11 @@ def words_sql(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row, even where body uses it inside a lambda function."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

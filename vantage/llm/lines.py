@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, Table, require
+from .common import SPACE_CLASS, SPACES, Table, let, require
 
 #: A repeated run of so many words goes.
 MIN_WORDS = 50
@@ -96,8 +96,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))
     ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.col("n_lines")))
     stretches = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))), lambda x: x["n"] > 0)
-    joined = rows.join(runs.hint("merge"), "key", "left").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n)).withColumn("lines", F.when(F.col("runs").isNotNull(), lines))
-    kept = F.array_join(F.transform(stretches, lambda x: F.array_join(F.slice(F.col("lines"), x["a"] + 1, x["n"]), "\n")), "\n")
+    joined = rows.join(runs.hint("merge"), "key", "left").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n))
+    kept = let(lines, lambda every: F.array_join(F.transform(stretches, lambda x: F.array_join(F.slice(every, x["a"] + 1, x["n"]), "\n")), "\n"))
     gone = F.aggregate("runs", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1)
     return joined.select(
         "id",

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, require, words_sql
+from .common import SPACES, let, require, words_sql
 
 # Frequent short words of four languages.
 STOP_WORDS = (
@@ -42,7 +42,7 @@ class Rule:
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 25.0),
     Rule("symbols", "n_symbols", "n_words", None, 0.1),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
     Rule("stop_words", "n_stop_words", "n_words", 0.005, None),
     Rule("capitals", "n_upper", "word_chars", None, 0.3),
     Rule("exclamations", "n_bangs", "n_words", None, 0.1),
@@ -79,8 +79,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     stops = sorted({w for s in STOP_WORDS.split() for w in (s, s.capitalize())})
     only = lambda kind: F.char_length(F.regexp_replace("t", f"[^{kind}]+", ""))
-    place = F.sequence(F.lit(0), F.size("words") - 3)
-    grams = F.transform(place, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    grams = let(
+        F.col("words"),
+        lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))),
+    )
     first = rows.select(
         "id",
         F.size("words").alias("n_words"),
@@ -95,15 +97,16 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # only texts with some window twice are sorted
     pairs = F.array_sort(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     second = first.withColumn("pairs", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), pairs))
-    repeated = F.coalesce(F.when(F.col("pairs").isNotNull(), repeated_words(F.col("pairs"))), F.lit(0))
-    third = second.select(
-        "id",
-        *("n_words", "word_chars", "n_symbols", "n_bangs", "n_upper", "n_stop_words"),
-        F.size("lines").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        repeated.alias("n_repeat_words"),
-    )
-    return third.select("id", *(F.col(c).cast("long") for c in third.columns[1:]))
+    repeated = F.coalesce(F.when(F.col("pairs").isNotNull(), let(F.col("pairs"), repeated_words)), F.lit(0))
+    found = {
+        **{c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_bangs", "n_upper", "n_stop_words")},
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": repeated,
+    }
+    # filters on the measures stay above the explode; pushed below, they would compute every array again
+    one = F.explode(F.array(F.struct(*(c.cast("long").alias(n) for n, c in found.items()))))
+    return second.select("id", one.alias("m")).select("id", "m.*")
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
