@@ -6,10 +6,11 @@ import io
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.llm import contamination, warc
+from vantage.llm import contamination, queries, warc
 from vantage.llm.common import new_path
 
 from .helpers import frame, texts, words
@@ -156,3 +157,19 @@ def test_document_frequency(spark):
     some = contamination.build_index(docs, terms={b"c"})
     assert dict(contamination.document_frequency(some).collect()) == {"c": 1}
     assert some.select(F.sum(F.size("ids"))).first()[0] == 3
+
+
+def test_queries_against_their_sql(spark, tmp_path):
+    rows, items = cases()
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    pages(spark, [r for r in page_rows() if r[0] is not None]).write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("op9_warc", "op10_decontamination"):
+        got = queries.queries()[name](spark, str(tmp_path))
+        want = db.execute(queries.oracle_sql()[name])
+        names = [c[0] for c in want.description]
+        assert sorted(got.columns) == sorted(names)
+        assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str), name

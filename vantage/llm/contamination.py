@@ -415,3 +415,30 @@ def matches(
                 )
 
     return blocks.mapInArrow(run, schema)
+
+
+def _oracle() -> str:
+    """DuckDB SQL for the rows of the registered query: n-grams of the documents joined to the items' windows."""
+    words = lambda c: f"""regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+v AS (SELECT q, item, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM (SELECT row_number() OVER () AS q, * FROM b) y),
+s AS (SELECT DISTINCT item, k, array_to_string(run, ' ') AS gram
+      FROM (SELECT item, least(n, {WINDOW}) AS k, list(x) OVER (PARTITION BY q ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS run FROM v) y
+      WHERE len(run) = k),
+e AS (SELECT r, i, list(x) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS run
+      FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) y),
+g AS (SELECT r, i, k, array_to_string(run[1:k], ' ') AS gram FROM e, (SELECT DISTINCT k FROM s) y WHERE len(run) >= k),
+h AS (SELECT g.r, g.i, g.k, s.item FROM g JOIN s ON s.k = g.k AND s.gram = g.gram),
+n AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM h) x GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) x GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256,
+       coalesce(n.n_hit, 0) > 0 AND 20 * coalesce(n.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN t ON t.r = d.r
+"""
+
+
+ORACLE_SQL = _oracle()

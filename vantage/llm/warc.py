@@ -263,3 +263,14 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     named = lambda c: F.when(F.col(c).startswith("<urn:page:"), F.url_decode(F.regexp_extract(c, "^<urn:page:(.*)>$", 1))).cast(id_type)
     found = read_warc(spark, manifest, split)
     return found.select(named("record_id").alias("id"), "payload_bytes", "payload_digest", "record_type", named("refers_to").alias("refers_to"))
+
+
+#: DuckDB SQL for the rows of the registered query.
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS original FROM p WHERE strlen(html) >= {LEAST_REVISIT} GROUP BY html)
+SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN p.page_id < g.original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id < g.original THEN g.original END AS refers_to
+FROM p LEFT JOIN g ON g.html = p.html
+"""
