@@ -67,8 +67,11 @@ class NoisyOr:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(bags: list[tuple[int, list[list[int]]]], y: np.ndarray, weight: np.ndarray, terms: int, l2: float = 1e-5, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias with the least weighted negative log-likelihood of the document labels, by Adam."""
+def fit(bags: list[tuple[int, list[list[int]]]], y: np.ndarray, weight: np.ndarray, terms: int, prior: float = 0.04, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias with the least weighted negative log-likelihood of the document labels, by Adam.
+
+    prior is the precision of a Gaussian prior on each weight; its share falls with the number of documents."""
+    l2 = prior / max(1, len(bags))
     owner = np.repeat(np.arange(len(bags)), [len(h) for _, h in bags]).astype(np.int64)
     silent = np.array([n - len(h) for n, h in bags], float)
     sizes = np.array([len(s) for _, h in bags for s in h], np.int64)
