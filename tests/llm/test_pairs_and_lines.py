@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vantage.llm import components, licences, lines, rules, simhash
+from vantage.llm import components, licences, lines, queries, rules, simhash
 
 from .helpers import frame, texts
 
@@ -99,40 +99,77 @@ def test_components_of_chains_and_loops(spark):
     assert components.star_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def slow_lines(rows, least=50):
-    """{(id, text): text without later repeated runs}, straight from the definition of a run"""
+def slow_runs(rows, least=50):
+    """{(id, text): (words that go, text without them)}, straight from the definition of a run"""
     seen, gone = {}, {}
     for i, text in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0, str(x[1]))):
-        cut = [(k, s, len(SPACE.findall(s))) for k, s in enumerate((text or "").split("\n"))]
-        cut = [c for c in cut if c[2]]
-        for a in range(len(cut)):
-            for b in range(a, len(cut)):
-                if sum(c[2] for c in cut[a : b + 1]) >= least:
-                    run = tuple(c[1] for c in cut[a : b + 1])
-                    if seen.setdefault(run, (i, text, a)) != (i, text, a):
-                        gone.setdefault((i, text), set()).update(range(cut[a][0], cut[b][0] + 1))
-    return {(i, t): t if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if k not in gone.get((i, t), ())) for i, t in rows}
-
-
-def test_line_runs_against_brute_force(spark):
+        w = SPACE.findall(text or "")
+        for a in range(len(w) - least + 1):
+            run = tuple(w[a : a + least])
+            if seen.setdefault(run, (i, text, a)) != (i, text, a):
+                gone.setdefault((i, text), set()).update(range(a, a + least))
+    out = {}
+    for i, text in rows:
+        cut, kept, opened = gone.get((i, text), set()), [], None
+        if not cut:
+            out[i, text] = (0, text)
+            continue
+        ends = [m.span() for m in SPACE.finditer(text)] + [(len(text), len(text))]
+        for k, (a, b) in enumerate(ends):
+            gap = text[ends[k - 1][1] if k else 0 : a]
+            if k in cut:
+                opened = (k, gap) if opened is None else opened
+                continue
+            if opened and (opened[0] == 0 or "\n" in opened[1]):
+                gap = opened[1]
+            opened = None
+            kept.append(gap + text[a:b])
+        out[i, text] = (len(cut), "".join(kept))
+    return out
+
+
+def run_rows():
     rng = random.Random(5)
-    pool = [" ".join(f"p{i}q{j}" for j in range(rng.choice([3, 12, 20, 60]))) for i in range(14)]
+    pool = [" ".join(f"p{i}q{j}" for j in range(rng.choice([3, 12, 20, 49, 50, 60]))) for i in range(14)]
     rows = []
     for i in range(40):
         k = rng.randrange(len(pool))
         body = pool[k : k + rng.randrange(1, 6)] + [f"own {i}"] * rng.randrange(2) + ["", " "] * rng.randrange(2) + rng.choices(pool, k=3)
-        rows.append((i, "\n".join(body)))
-    rows += [(50, None), (51, ""), (52, "\n\n"), (None, rows[2][1]), (3, rows[3][1]), (53, "\n".join(["same line"] * 60))]
-    want = slow_lines([r for r in rows if r[0] != 53])
-    got = {(r["id"], t): r for r in lines.dedup_lines(frame(spark, [r for r in rows if r[0] != 53])).collect() for t in [None]}
-    for (i, t), text in want.items():
-        assert got[(i, None)]["text"] == text, (i, t)
-    assert any(r["n_deleted"] for r in got.values())
-    over = next(r for r in lines.dedup_lines(frame(spark, rows)).collect() if r["id"] == 53)
-    assert over["n_lines"] == 60 and over["text"] == "same line"
+        rows.append((i, rng.choice(["\n", " ", " \n\t"]).join(body)))  # whole lines and passages inside a line
+    return [*rows, (50, None), (51, ""), (52, "\n\n"), (53, "\n".join(["same line"] * 60)), (54, " the" * 148), (55, "x " + rows[4][1] + " y\n")]
+
+
+def test_runs_against_brute_force(spark):
+    rows = [*run_rows(), (None, run_rows()[2][1]), (3, run_rows()[3][1])]
+    want = slow_runs(rows)
+    got = {r["id"]: r for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    for (i, t), (n, text) in want.items():
+        assert (got[i]["n_deleted"], got[i]["text"]) == (n, text), (i, t)
+        assert sum(r["last"] - r["first"] + 1 for r in got[i]["runs"]) == n and got[i]["n_words"] == len(SPACE.findall(t or ""))
+    assert sum(n > 0 for n, _ in want.values()) > 10
+    short = [(i, t) for i, t in rows if i != 54]
+    assert {r["id"]: r["text"] for r in lines.dedup_lines(frame(spark, short), min_words=5).collect()} == {i: x for (i, _), (_, x) in slow_runs(short, 5).items()}
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_passage_inside_a_line(spark):
+    def passage(n):
+        return " ".join(f"shared{n}_{j}" for j in range(n))
+
+    rows = [(i, f"head of line{i} {passage(n)} end{i} of it\nlast {i}") for i, n in enumerate([51, 49, 51, 49])]
+    got = {r["id"]: r["text"] for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {**dict(rows), 2: "head of line2 end2 of it\nlast 2"}
+
+
+def test_runs_against_sql(spark, tmp_path):
+    frame(spark, run_rows()).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(lines.ORACLE_SQL).fetchall())
+    got = queries.op1_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_deleted"], r["text_md5"]) for r in got) == want
+
+
 def test_rules_against_sql_and_brute_force(spark):
     rows = list(enumerate(texts())) + [(20, "# one two | three <x>\nAB! CD!\n\nAB! CD!"), (21, "x y z " * 40), (22, "THE END!! " * 60)]
     got = {r["id"]: r.asDict() for r in rules.apply_rules(frame(spark, rows)).collect()}

@@ -1,11 +1,11 @@
-"""Removal of repeated runs of lines, by winnowing over line hashes. DataFrame operations only.
-
-A run is consecutive lines (blank ones aside) with `min_words` words or more in all. From every line
-the least run that starts there, and the least that ends there, is a window; its fingerprint is the
-least line hash in it. Equal runs have equal windows, hence equal fingerprints: none is missed.
-Positions that agree in fingerprint and window content are joined to the earliest of them; the windows
-that start at a line extend a match forwards and those that end at a line backwards, and together cover
-every line of every repeated run. All but the earliest occurrence are deleted.
+"""Removal of repeated runs of lines and of passages inside lines, by winnowing. DataFrame operations only.
+
+A run is `min_words` words or more in a row, whatever the line breaks between them. Hashes of whole lines can't
+find a passage that stands inside a longer line, so the winnowed hashes are those of GRAM words in a row. The
+fingerprint of a window of min_words words is the least of its hashes: equal windows have equal fingerprints, so
+none is missed, and neighbouring windows mostly share theirs, so few are kept. Texts that share a fingerprint are
+the candidates. There every window is compared with the earliest place of its content; the windows that aren't the
+earliest overlap along a match, forwards and backwards, and together are the runs that go.
 """
 
 from __future__ import annotations
@@ -14,123 +14,155 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, Table, let, require
+from .common import SPACE_CLASS, Table, let, require, words_sql
 
-#: A repeated run of so many words goes.
-MIN_WORDS = 50
+#: A repeated run of so many words goes; words of a winnowed hash.
+MIN_WORDS, GRAM = 50, 8
 
 
 def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.col(id_col).isNull(), F.col(text_col))
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, key, id, line, hash, words, start) of the lines with a word; start counts words before it."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), _key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = rows.select("row", "key", "id", F.posexplode(F.split("text", "\n")).alias("line", "s")).withColumn("s2", F.btrim("s", F.lit(SPACES)))
-    counted = lines.where("s2 <> ''").select("row", "key", "id", "line", F.xxhash64("s").alias("hash"), F.size(F.split("s2", f"[{SPACE_CLASS}]+")).alias("words"))
-    before = W.partitionBy("row").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    return counted.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
-
-
-def window_table(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, id, first, last, fingerprint, content) of the least runs of min_words words."""
-    end = F.col("start") + F.col("words")
-    ahead = W.partitionBy("row").orderBy("start").rangeBetween(0, min_words - 1)
-    behind = W.partitionBy("row").orderBy("end").rangeBetween(1 - min_words, 0)
-
-    def window(w, whole: Column) -> Column:
-        held = F.collect_list("hash").over(w)
-        return F.struct(
-            whole.alias("whole"),
-            F.min("line").over(w).alias("first"),
-            F.max("line").over(w).alias("last"),
-            F.array_min(held).alias("fingerprint"),
-            F.xxhash64(held).alias("content"),
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _sliding(of: Column, size: int, join, then) -> Column:
+    """then(join of every `size` consecutive elements), which are doubled step by step, so that an element costs
+    log(size) joins; `of` has that many elements at least. Windows overlap in the last step, as join allows."""
+
+    def shifted(now: Column, by: int, after) -> Column:
+        n = F.size(now) - by
+        return let(F.zip_with(F.slice(now, F.lit(1), n), F.slice(now, F.lit(by + 1), n), lambda a, b: join(a, b)), after)
+
+    def grow(now: Column, width: int) -> Column:
+        if width == size:
+            return then(now)
+        by = min(width, size - width)
+        return shifted(now, by, lambda x: grow(x, width + by))
+
+    return grow(of, 1)
+
+
+def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, id, body, n, own, fingerprints) of the rows with min_words words: body is a hash of the n words,
+    own says that a gram repeats within the text."""
+    gram = min(GRAM, min_words)
+
+    def winnow(h: Column) -> Column:
+        found = _sliding(
+            h,
+            gram,
+            F.xxhash64,
+            lambda g: F.struct(
+                (F.size(F.array_distinct(g)) < F.size(g)).alias("own"),
+                _sliding(g, min_words - gram + 1, F.least, F.array_distinct).alias("fingerprints"),
+            ),
         )
+        return F.when(F.size(h) >= min_words, F.struct(F.xxhash64(h).alias("body"), F.size(h).alias("n"), found.alias("found")))
 
-    long_enough_ahead = F.max("end").over(ahead) >= F.col("start") + min_words
-    long_enough_behind = F.min("start").over(behind) <= F.col("end") - min_words
-    rows = lines.withColumn("end", end).select(
-        "key", "id", window(ahead, long_enough_ahead).alias("a"), window(behind, long_enough_behind).alias("b")
-    )
-    # a line's two windows are the same run when both hold the same lines
-    same = (F.col("a.first") == F.col("b.first")) & (F.col("a.last") == F.col("b.last")) & F.col("a.whole")
-    each = F.filter(F.array("a", F.when(~same, F.col("b"))), lambda x: x.isNotNull() & x["whole"])
-    return rows.select("key", "id", F.explode(each).alias("w")).select("key", "id", "w.first", "w.last", "w.fingerprint", "w.content")
+    rows = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), let(_hashes(words_sql(F.col(text_col))), winnow).alias("x"))
+    return rows.where("x IS NOT NULL").select("key", "id", "x.body", "x.n", "x.found.own", "x.found.fingerprints")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, runs): runs is the ascending array of (first, last) line numbers, from 0, that go."""
-    held = Table(window_table(line_table(docs, id_col, text_col), min_words), "line-windows")
-    windows = held.df
-    place = F.struct("id", "key", "first")
-    shared = Table(
-        windows.groupBy("fingerprint", "content").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest <> latest").drop("latest"),
-        "line-matches",
-    )
-    later = windows.join(shared.df.hint("merge"), ["fingerprint", "content"]).where(~place.eqNullSafe(F.col("earliest"))).select("key", "first", "last")
-    order = W.partitionBy("key").orderBy("first", "last")
-    reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
-    islands = later.withColumn("opens", F.coalesce((F.col("first") > reach + 1).cast("int"), F.lit(1))).withColumn("island", F.sum("opens").over(order))
-    runs = islands.groupBy("key", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    """(key, runs): runs is the ascending array of (first, last) word numbers, from 0, that go."""
+    prints = Table(fingerprint_table(docs, id_col, text_col, min_words), "line-prints").df
+    # rows with the same words are one body, and its first row stands for all
+    rows = prints.groupBy("body", "key").agg(F.first("id").alias("id"), F.max("n").alias("n"), F.max("own").alias("own"))
+    bodies = Table(rows.groupBy("body").agg(F.min(F.struct("id", "key")).alias("place"), F.max("own").alias("own")), "line-bodies").df
+
+    held = prints.select("body", F.explode("fingerprints").alias("fingerprint"))
+    shared = held.groupBy("fingerprint").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("fingerprint")
+    sharing = held.join(shared.hint("merge"), "fingerprint").select("body").union(bodies.where("own").select("body")).distinct()
+    candidates = Table(bodies.join(sharing.hint("merge"), "body").select("body", "place.id", "place.key"), "line-candidates").df
+
+    texts = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).join(candidates.hint("merge"), "key")
+    contents = let(_hashes(words_sql(F.col("text"))), lambda h: _sliding(h, min_words, F.xxhash64, lambda c: c))
+    windows = Table(texts.select("id", "body", F.posexplode(contents).alias("first", "content")), "line-windows").df
+    place = F.struct("id", "body", "first")
+    twice = windows.groupBy("content").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest <> latest").drop("latest")
+    later = windows.join(twice.hint("merge"), "content").where(~place.eqNullSafe(F.col("earliest"))).select("body", "first")
+    order = W.partitionBy("body").orderBy("first")
+    opens = F.coalesce((F.col("first") > F.lag("first").over(order) + min_words).cast("int"), F.lit(1))
+    islands = later.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order))
+    runs = islands.groupBy("body", "island").agg(F.min("first").alias("first"), (F.max("first") + (min_words - 1)).alias("last"))
+    cut = runs.groupBy("body").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - 1).alias("last")))
+    judged = rows.join(bodies.select("body", "place").hint("merge"), "body").join(cut.hint("merge"), "body", "left")
+    # a later copy of all the words goes whole
+    return judged.select("key", F.when(F.col("key") == F.col("place.key"), F.col("runs")).otherwise(whole).alias("runs")).where("runs IS NOT NULL")
+
+
+def _kept_text(text: Column, runs: Column) -> Column:
+    """text without the words of the runs. Of the white space around a run, that before it stays where it holds a
+    line break or begins the text, otherwise that after it."""
+
+    def rebuilt(words: Column, gaps: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["last"] + 1))
+        ends = F.concat(F.transform(runs, lambda r: r["first"]), F.array(F.size(words)))
+
+        def lead(r: Column) -> Column:
+            before = F.get(gaps, r["first"])
+            return F.when((r["first"] == 0) | F.contains(before, F.lit("\n")), before).otherwise(F.get(gaps, r["last"] + 1))
+
+        leads = F.concat(F.array(F.when(F.element_at(runs, 1)["first"] > 0, F.get(gaps, F.lit(0))).otherwise("")), F.transform(runs, lead))
+        stretches = F.arrays_zip(begins.alias("a"), ends.alias("b"), leads.alias("lead"))
+
+        def stretch(x: Column) -> Column:
+            rest = F.transform(F.sequence(x["a"] + 1, x["b"] - 1), lambda i: F.concat(F.get(gaps, i), F.get(words, i)))
+            tail = F.when(x["b"] > x["a"] + 1, F.array_join(rest, "")).otherwise("")
+            return F.when(x["b"] > x["a"], F.concat(x["lead"], F.get(words, x["a"]), tail)).otherwise("")
+
+        return F.array_join(F.transform(stretches, stretch), "")
+
+    gaps = F.split(text, f"[^{SPACE_CLASS}]+")  # one more than there are words
+    return let(F.concat(words_sql(text), F.array(F.lit(""))), lambda w: let(gaps, lambda g: rebuilt(w, g)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, text, runs, n_lines, n_deleted) per row of docs: text without the runs of lines that an earlier
-    place has too.
+    """(id, text, runs, n_words, n_deleted) per row of docs: text without the runs of min_words words or more
+    that an earlier place has too.
 
-    Places are ordered by id (nulls first), then line. Lines are compared exactly, without their line end;
-    blank lines (no word) never match and stay, unless they are inside a run that goes. A null text stays
-    null with no lines. Rows that repeat both id and text are one document and get the same result. An
-    earlier occurrence may overlap the later one, so a line repeated on and on shrinks to its beginning.
+    Places are ordered by id (nulls first), then word. Words `[^\\x20\\x09-\\x0D]+` are compared exactly, white
+    space isn't; a line whose words all go goes too. A null text stays null with no words, and so do blank texts.
+    Rows that repeat both id and text are one document and get the same result. An earlier occurrence may overlap
+    the later one, so a word or line repeated on and on shrinks to its beginning.
     Other columns of docs aren't looked at. An empty table gives an empty result.
     """
     require(docs, id_col, text_col)
     runs = Table(repeated_runs(docs, id_col, text_col, min_words), "line-runs").df
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _key(id_col, text_col).alias("key"))
-    lines = F.split("text", "\n")
-    n = F.size(lines)
-    # the kept stretches lie between the end of one run and the start of the next
-    begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))
-    ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.col("n_lines")))
-    stretches = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))), lambda x: x["n"] > 0)
-    joined = rows.join(runs.hint("merge"), "key", "left").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n))
-    kept = let(lines, lambda every: F.array_join(F.transform(stretches, lambda x: F.array_join(F.slice(every, x["a"] + 1, x["n"]), "\n")), "\n"))
+    joined = rows.join(runs.hint("merge"), "key", "left")
     gone = F.aggregate("runs", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1)
     return joined.select(
         "id",
-        F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.col("runs").isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), F.col("runs"))).alias("text"),
         F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")).alias("runs"),
-        "n_lines",
+        F.size(words_sql(F.col("text"))).alias("n_words"),
         F.coalesce(gone, F.lit(0)).alias("n_deleted"),
     )
 
 
-#: DuckDB SQL for the rows of the registered query; windows are compared by their lines, not by hashes.
+#: DuckDB SQL for the rows of the registered query; windows are compared by their words, not by hashes.
 ORACLE_SQL = """
-WITH l AS (
-  SELECT doc_id, line, s, len(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+')) AS words
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s,
-               unnest(range(len(string_split(text, chr(10))))) AS line FROM documents) t),
-p AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM l WHERE words > 0),
-q AS (SELECT *, stop - words AS start FROM p),
-w AS (
-  SELECT doc_id, min(line) OVER a AS first, max(line) OVER a AS last, list(s) OVER a AS c,
-         max(stop) OVER a >= start + 50 AS whole FROM q
-  WINDOW a AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN 0 FOLLOWING AND 49 FOLLOWING)
-  UNION ALL
-  SELECT doc_id, min(line) OVER b, max(line) OVER b, list(s) OVER b, min(start) OVER b <= stop - 50 FROM q
-  WINDOW b AS (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN 49 PRECEDING AND 0 PRECEDING)),
-u AS (SELECT DISTINCT doc_id, first, last, array_to_string(c, chr(10)) AS c FROM w WHERE whole),
-f AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id, first) AS nth FROM u),
-g AS (SELECT l.doc_id, l.line FROM l WHERE EXISTS (
-        SELECT 1 FROM f WHERE f.nth > 1 AND f.doc_id = l.doc_id AND l.line BETWEEN f.first AND f.last)),
-k AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-t AS (SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.line) AS s
-      FROM l ANTI JOIN g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::INTEGER AS n_lines,
-       coalesce(k.n, 0)::INTEGER AS n_deleted, CASE WHEN d.text IS NOT NULL THEN md5(coalesce(t.s, '')) END AS text_md5
-FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+         string_split_regex(text, '[^\\x20\\x09-\\x0D]+') AS gaps FROM documents),
+w AS (SELECT doc_id, unnest(range(len(words) - 49)) AS pos, words FROM d WHERE len(words) >= 50),
+f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(words[pos + 1 : pos + 50], ' ') ORDER BY doc_id, pos) AS nth FROM w),
+l AS (SELECT doc_id, pos FROM f WHERE nth > 1),
+p AS (SELECT d.doc_id, unnest(range(len(words) + 1)) AS pos, unnest(list_append(words, '')) AS word, unnest(gaps) AS gap
+      FROM d WHERE doc_id IN (SELECT doc_id FROM l)),
+q AS (SELECT p.*, p.word <> '' AND max(l.pos) OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+      FROM p LEFT JOIN l ON l.doc_id = p.doc_id AND l.pos = p.pos),
+r AS (SELECT *, 1 + coalesce(max(CASE WHEN NOT gone THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS a FROM q),
+s AS (SELECT r.*, g.gap AS opening FROM r JOIN p g ON g.doc_id = r.doc_id AND g.pos = r.a WHERE NOT r.gone),
+t AS (SELECT doc_id, string_agg(CASE WHEN a = 0 OR contains(opening, chr(10)) THEN opening ELSE gap END || word, '' ORDER BY pos) AS text FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n FROM q WHERE gone GROUP BY doc_id)
+SELECT o.doc_id, coalesce(len(d.words), 0)::INTEGER AS n_words, coalesce(k.n, 0)::INTEGER AS n_deleted,
+       md5(CASE WHEN k.n > 0 THEN t.text ELSE o.text END) AS text_md5
+FROM documents o JOIN d ON d.doc_id = o.doc_id LEFT JOIN k ON k.doc_id = o.doc_id LEFT JOIN t ON t.doc_id = o.doc_id
 """
