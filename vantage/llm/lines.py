@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, Table, let, require, words_sql
 
 #: A repeated run of so many words goes; words of a winnowed hash.
-MIN_WORDS, GRAM = 50, 8
+MIN_WORDS, GRAM = 50, 32
 
 
 def _key(id_col: str, text_col: str) -> Column:
