@@ -1,5 +1,7 @@
 """The pipeline's stages, each held against a brute-force version of its decision."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 from vantage.llm import contamination, mixing, quality, queries, simhash
 
+from .helpers import words
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -38,6 +42,29 @@ def test_each_stage_against_its_operator(spark, docs):
     assert ids(cp.mixing_stage(spark, docs, SF)) == sorted(i for i, n in times.items() for _ in range(n))
 
 
+@pytest.mark.parametrize("left", [0, 2])
+def test_mixing_after_a_filter_keeps_the_other_domains(spark, tmp_path, left):
+    rng, rows, marks = random.Random(4), [], []
+    for i in range(500):
+        w = words(rng, 60)
+        low, toxic = i % 5 == 0, i % 5 == 1
+        if low:
+            w = [x for y in w for x in (y, "***")]
+        if toxic:
+            w[::20] = ["vile"] * len(w[::20])
+        rows.append((i, " ".join(w), "en", "s", len(w)))
+        marks.append((i, int(not low), int(toxic)))
+    every = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stayed = every.where(f"doc_id % 5 <> 0 OR doc_id < {5 * left}")
+    got = ids(cp.mixing_stage(spark, stayed, str(tmp_path)))
+    clean = sum(i % 5 > 1 for i in got)
+    assert 285 <= clean <= 315  # of 300
+    assert 1 <= sum(i % 5 == 1 for i in got) <= 15  # of 100; 0.02 / 0.96 of 300 is 6
+    assert sum(i % 5 == 0 for i in got) <= 2
+
+
 def test_run_and_odd_rows(spark, docs):
     out = cp.run(spark, SF)
     assert out.count() and {"doc_id", "shard", "slot"} <= set(out.columns)

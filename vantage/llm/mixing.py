@@ -203,17 +203,29 @@ def target_totals(weights: dict[str, float], domains: list[str], available: list
     return [budget * s for s in share]
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", budget: float | None = None) -> tuple[DataFrame, list[str]]:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", budget: float | None = None, whole: DataFrame | None = None, filtered: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """((id, tokens, p0.., rate) per row of docs, the domains in the order of p0..).
 
     weights: target share of the tokens by domain; a domain without a weight gets none. Null and blank
     texts have 0 tokens and weigh nothing, their rate follows their posterior. Null ids and repeated rows
     stay, each with its rate. Empty docs give an empty result.
+
+    whole: the documents that docs was filtered from. The classifier is fitted on them, as a domain that is
+    nearly gone from docs can't be learned there. What a filter took from the filtered domains limits neither the
+    budget nor the others: they get their share as far as docs still has it.
     """
-    model = fit_classifier(docs, labelled, id_col, text_col, domain_col)
+    every = docs if whole is None else whole
+    model = fit_classifier(every, labelled, id_col, text_col, domain_col)
     held, n = Table(memberships(docs, model, id_col, text_col).withColumn("rate", F.lit(1.0)), "mix-rates"), len(model.domains)
-    targets = target_totals(weights, model.domains, totals(held.df, n), budget)
-    return fit_rates(held, n, targets), model.domains
+    available = totals(held.df, n)
+    gone = [whole is not None and d in filtered for d in model.domains]
+    before = available
+    if any(gone):
+        once = Table(memberships(whole, model, id_col, text_col).drop("id").withColumn("rate", F.lit(1.0)), "mix-whole")  # in an aggregation each sum would compute the posteriors anew
+        before = totals(once.df, n)
+        once.drop()
+    wanted = target_totals(weights, model.domains, [b if g else a for g, a, b in zip(gone, available, before, strict=True)], budget)
+    return fit_rates(held, n, [min(t, a) if g else t for g, t, a in zip(gone, wanted, available, strict=True)]), model.domains
 
 
 def copies(rate: Column, row_id: Column) -> Column:
