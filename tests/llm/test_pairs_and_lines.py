@@ -225,3 +225,28 @@ def test_licences_against_brute_force(spark):
         assert best == pytest.approx(slow_passages(text)), text
     assert licences.scan(frame(spark, [])).count() == 0
     assert {r["licence"] for r in licences.licence_counts(licences.scan(frame(spark, rows))).collect()} >= {"MIT", "Apache-2.0"}
+
+
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Copyright 2019 Jane Roe. Released under the MIT License.", [(0, 0, "MIT", 1.0)]),
+        ("first\nThis is long prose of no use here. Released under the MIT License. More of it follows then.", [(1, 1, "MIT", 1.0)]),
+        (MIT, [(0, 0, "MIT", 1.0)]),
+        ("Long prose before it that ends so. Released under\nthe MIT License. Long prose goes on after it.", [(0, 1, "MIT", 1.0)]),
+        ("Some prose goes here first. Licensed under CC BY 4.0. Licensed under CC BY 4.0. It goes on after that.", [(0, 0, "CC-BY-4.0", 1.0)] * 2),
+        ("Released under the MIT License.\nAnd one more: prose, released under the MIT License, prose.", [(0, 0, "MIT", 1.0), (1, 1, "MIT", 1.0)]),
+        ("prose of the license and the software under the terms of this prose", []),
+        ("under the " * 3000, []),
+    ],
+)
+def test_licences_inside_lines(text, want):
+    got = licences.passages(text, licences.compile_templates())
+    assert [x for x in got if x[2] in {w[2] for w in want} and x[3] == 1.0] == want and (want or not got)

@@ -1,4 +1,4 @@
-"""Licence scan: passages of normalised text against licence templates, by the Dice coefficient of their
+"""Licence scan: passages and word windows of normalised text against licence templates, by the Dice coefficient of their
 sets of word bigrams. Size bounds prune the templates that a passage can't match."""
 
 from __future__ import annotations
@@ -82,8 +82,55 @@ def compile_templates(templates=TEMPLATES, threshold: float = THRESHOLD) -> Temp
     return Templates([n for n, _ in templates], [bigrams(normalise(t)) for _, t in templates], threshold)
 
 
+def windows(lines: list[tuple[int, list[str]]], t: Templates, used: set[tuple[str, int]]) -> list[tuple[int, int, int, float]]:
+    """(first index in lines, last index, template, dice) of the word windows that match a template, whatever the
+    line breaks; lines that a passage of the licence has, (licence, index) in used, are left out, and so are
+    windows of lines that aren't too long to be judged whole: a whole notice makes such lines a passage.
+
+    A window starts and ends with a bigram of its template: other words at its ends would only lower the
+    coefficient. One whose first bigram comes again is no better than the one that starts there. Windows of the
+    same licence that overlap give way to the best (then the larger template, the shortest, the first)."""
+    words = [w for _, line in lines for w in line]
+    at = [k for k, (_, line) in enumerate(lines) for _ in line]
+    pairs = list(zip(words, words[1:], strict=False))
+    hits = [i for i, x in enumerate(pairs) if x in t.every]
+    found: list[tuple[float, int, int, int]] = []
+    for n, g in enumerate(t.grams):
+        name = t.names[n]
+        own = [i for i in hits if pairs[i] in g and (name, at[i]) not in used and (name, at[i + 1]) not in used]
+        if len({pairs[i] for i in own}) < t.low[n]:
+            continue
+        starts = set(own)
+        for i in own:
+            grams, common = {pairs[i]}, 1
+            for j in range(i, len(pairs)):
+                if j > i and (pairs[j] == pairs[i] or (name, at[j + 1]) in used):
+                    break
+                if j > i and pairs[j] not in grams:
+                    grams.add(pairs[j])
+                    common += j in starts
+                    if len(grams) > t.high[n]:
+                        break
+                if j in starts and len(grams) >= t.low[n] and (score := 2 * common / (len(grams) + len(g))) >= t.threshold:
+                    found.append((score, n, i, j))
+    taken: dict[str, list[tuple[int, int]]] = {}
+    size: dict[tuple[int, int], int] = {}  # bigrams of whole lines
+    out: list[tuple[int, int, int, float]] = []
+    for score, n, i, j in sorted(found, key=lambda x: (-x[0], -len(t.grams[x[1]]), x[3] - x[2], x[2], x[1])):
+        had, span = taken.setdefault(t.names[n], []), (at[i], at[j + 1])
+        if not all(j + 1 < a or b + 1 < i for a, b in had):
+            continue
+        if span not in size:
+            size[span] = len(bigrams([w for _, line in lines[span[0] : span[1] + 1] for w in line]))
+        if size[span] > t.high[n]:
+            had.append((i, j))
+            out.append((at[i], at[j + 1], n, score))
+    return out
+
+
 def passages(text: str | None, t: Templates) -> list[tuple[int, int, str, float]]:
-    """(first line, last line, licence, dice) of all passages of whole lines that match a template.
+    """(first line, last line, licence, dice) of all passages of whole lines that match a template, and of the word
+    windows that do so elsewhere, as a notice may stand inside a longer line.
 
     A passage starts and ends with a line that holds a bigram of some template: other lines at its ends
     would only lower the coefficient. Passages of the same template that overlap give way to the best
@@ -127,6 +174,8 @@ def passages(text: str | None, t: Templates) -> list[tuple[int, int, str, float]
         if all((n, i) not in used for i in range(k, j + 1)):
             taken.append((k, j, n, score))
             used.update((n, i) for i in range(k, j + 1))
+    if any(marked):
+        taken += windows(lines, t, {(t.names[n], i) for n, i in used})
     return sorted((lines[k][0], lines[j][0], t.names[n], score) for k, j, n, score in taken)
 
 
