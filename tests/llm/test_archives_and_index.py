@@ -173,3 +173,11 @@ def test_queries_against_their_sql(spark, tmp_path):
         names = [c[0] for c in want.description]
         assert sorted(got.columns) == sorted(names)
         assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str), name
+
+
+def test_headers_of_any_length():
+    long = "http://a/" + "\u65e5" * 120_000  # over 1 MiB once percent-encoded
+    members = [warc.record("response", i, url, b"payload %d" % i) for i, url in enumerate(["http://a/", long, "http://b/"])]
+    got = list(warc.records_in(io.BytesIO(b"".join(members)), 0, sum(map(len, members))))
+    assert [h["warc-record-id"] for _, h, _ in got] == [f"<urn:page:{i}>" for i in range(3)]
+    assert [b.partition(b"\r\n\r\n")[2] for _, _, b in got] == [b"payload %d" % i for i in range(3)]

@@ -187,11 +187,13 @@ def records_in(handle, start: int, end: int) -> Iterator[tuple[int, dict[str, st
         source.at = source.base + found
         if source.at >= end:
             return
-        for limit in (8192, 1 << 20):  # few headers are longer than the first
+        limit = 8192  # few headers are longer
+        while True:
             probe = _member(source, limit)
             head = _header(probe[0]) if probe else None
-            if head or not probe or not probe[0].startswith(b"WARC/1."):
+            if head or not probe or probe[1] or not probe[0].startswith(b"WARC/1.") or b"\r\n\r\n" in probe[0]:
                 break
+            limit *= 2
         whole = _member(source) if head else None
         if not whole:
             source.at += 1
