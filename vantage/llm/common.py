@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,17 +55,35 @@ def _purge_at_exit(spark: SparkSession) -> None:
         pass
 
 
+#: Settings while a table is written: its shuffle files go as soon as it is there.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Table:
     """A DataFrame written once to the shared folder, so that a lost executor costs no recomputation."""
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, conf: dict[str, str] | None = None):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, label)
         app = self.spark.sparkContext.applicationId
         if app not in _cleaned:
             _cleaned.add(app)
             atexit.register(_purge_at_exit, self.spark)
-        df.write.parquet(self.path)
+        with settings(self.spark, _WRITING | (conf or {})):
+            df.write.parquet(self.path)
         self.schema = df.schema
 
     @property

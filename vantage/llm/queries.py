@@ -16,7 +16,7 @@ MIX_WEIGHTS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(read(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_deleted", F.md5("text").alias("text_md5"))
+    return out.select(F.col("id").alias("doc_id"), "n_deleted", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
