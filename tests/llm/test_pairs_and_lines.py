@@ -99,75 +99,116 @@ def test_components_of_chains_and_loops(spark):
     assert components.star_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def slow_runs(rows, least=50):
-    """{(id, text): (words that go, text without them)}, straight from the definition of a run"""
+def slow_lines(text):
+    """[(start, end of the line's signs and white space, line)] by a walk over the text"""
+    out, i, white = [], 0, " \t\n\x0b\x0c\r"
+    while i < len(text or ""):
+        j = i
+        while j < len(text) and text[j] not in ".!?\n":
+            j += 1
+        k = j
+        while k < len(text) and text[k] in ".!?" + white:
+            k += 1
+        if text[i:j].strip(white):
+            out.append((i, k, text[i:j].strip(white)))
+        i = k
+    return out
+
+
+def slow_runs(rows, least=25, most=8):
+    """{(id, text): (lines that go, text without them)}, straight from the definition of a run"""
     seen, gone = {}, {}
     for i, text in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0, str(x[1]))):
-        w = SPACE.findall(text or "")
-        for a in range(len(w) - least + 1):
-            run = tuple(w[a : a + least])
-            if seen.setdefault(run, (i, text, a)) != (i, text, a):
-                gone.setdefault((i, text), set()).update(range(a, a + least))
+        at = [x[2] for x in slow_lines(text)]
+        for a in range(len(at)):
+            for n in range(1, min(most, len(at) - a) + 1):
+                if n == most or sum(x.count(" ") + 1 for x in at[a : a + n]) >= least:
+                    run = tuple(at[a : a + n])
+                    if seen.setdefault(run, (i, text, a)) != (i, text, a):
+                        gone.setdefault((i, text), set()).update(range(a, a + n))
+                    break
     out = {}
     for i, text in rows:
-        cut, kept, opened = gone.get((i, text), set()), [], None
+        cut, kept, prior = gone.get((i, text), set()), "", "\n"
         if not cut:
             out[i, text] = (0, text)
             continue
-        ends = [m.span() for m in SPACE.finditer(text)] + [(len(text), len(text))]
-        for k, (a, b) in enumerate(ends):
-            gap = text[ends[k - 1][1] if k else 0 : a]
-            if k in cut:
-                opened = (k, gap) if opened is None else opened
-                continue
-            if opened and (opened[0] == 0 or "\n" in opened[1]):
-                gap = opened[1]
-            opened = None
-            kept.append(gap + text[a:b])
-        out[i, text] = (len(cut), "".join(kept))
+        spans = slow_lines(text)
+        kept = text[: spans[0][0]]
+        prior = kept or "\n"
+        for k, (a, b, _) in enumerate(spans):
+            if k not in cut:
+                kept += text[a:b]
+                prior = text[a:b]
+            elif k + 1 not in cut and "\n" in text[a:b] and "\n" not in prior:
+                kept += "\n"
+        out[i, text] = (len(cut), kept)
     return out
 
 
 def run_rows():
     rng = random.Random(5)
-    pool = [" ".join(f"p{i}q{j}" for j in range(rng.choice([3, 12, 20, 49, 50, 60]))) for i in range(14)]
+    pool = [" ".join(f"p{i}q{j}" for j in range(rng.choice([1, 3, 5, 9, 12, 20, 24, 25, 26, 40]))) for i in range(24)]
     rows = []
-    for i in range(40):
+    for i in range(60):
         k = rng.randrange(len(pool))
-        body = pool[k : k + rng.randrange(1, 6)] + [f"own {i}"] * rng.randrange(2) + ["", " "] * rng.randrange(2) + rng.choices(pool, k=3)
-        rows.append((i, rng.choice(["\n", " ", " \n\t"]).join(body)))  # whole lines and passages inside a line
-    return [*rows, (50, None), (51, ""), (52, "\n\n"), (53, "\n".join(["same line"] * 60)), (54, " the" * 148), (55, "x " + rows[4][1] + " y\n")]
+        body = pool[k : k + rng.randrange(1, 8)] + [f"own {i}"] * rng.randrange(2) + ["", " "] * rng.randrange(2) + rng.choices(pool, k=3)
+        text = "".join(x + rng.choice(["\n", ". ", "!\n", "?! ", ".", " .\n\n"]) for x in body)
+        rows.append((i, rng.choice(["", "\n\n", " .", "."]) + text + rng.choice(["", "tail", " "])))
+    same = [(70, None), (71, ""), (72, "\n\n"), (73, "\n".join(["same line"] * 60)), (74, " the" * 148), (75, "x. " + rows[4][1] + " y\n")]
+    return [*rows, *same, (76, " ".join(f"One{n % 3}." for n in range(5_000))), (77, "a. b. c. d. e. f. g."), (78, "a. b. c. d. e. f. g.")]
 
 
 def test_runs_against_brute_force(spark):
-    rows = [*run_rows(), (None, run_rows()[2][1]), (3, run_rows()[3][1])]
-    want = slow_runs(rows)
-    got = {r["id"]: r for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    rows = [*run_rows(), (None, run_rows()[2][1]), (3, run_rows()[3][1]), (3, "another text of id 3. " + run_rows()[5][1])]
+    got = {(r["id"], r["text"]): r for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    other = (3, rows[-1][1])  # two texts share an id: which goes first follows from a hash
+    want = slow_runs([r for r in rows if r != other])
     for (i, t), (n, text) in want.items():
-        assert (got[i]["n_deleted"], got[i]["text"]) == (n, text), (i, t)
-        assert sum(r["last"] - r["first"] + 1 for r in got[i]["runs"]) == n and got[i]["n_words"] == len(SPACE.findall(t or ""))
-    assert sum(n > 0 for n, _ in want.values()) > 10
-    short = [(i, t) for i, t in rows if i != 54]
-    assert {r["id"]: r["text"] for r in lines.dedup_lines(frame(spark, short), min_words=5).collect()} == {i: x for (i, _), (_, x) in slow_runs(short, 5).items()}
+        if i != 3 and (i, text) in got:
+            assert got[i, text]["n_deleted"] == n, (i, t)
+            assert sum(r["last"] - r["first"] + 1 for r in got[i, text]["runs"]) == n
+    assert sum(n > 0 for n, _ in want.values()) > 20
+    plain = run_rows()
+    for least in (25, 5):
+        found = {r["id"]: (r["n_deleted"], r["text"]) for r in lines.dedup_lines(frame(spark, plain), min_words=least).collect()}
+        assert found == {i: x for (i, _), x in slow_runs(plain, least).items()}
     assert lines.dedup_lines(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError, match="min_words"):
+        lines.dedup_lines(frame(spark), min_words=64)
 
 
-def test_passage_inside_a_line(spark):
+def test_passage_inside_a_line_of_the_file(spark):
     def passage(n):
-        return " ".join(f"shared{n}_{j}" for j in range(n))
+        return ". ".join(" ".join(f"s{n}_{k}_{j}" for j in range(10)) for k in range(n))
 
-    rows = [(i, f"head of line{i} {passage(n)} end{i} of it\nlast {i}") for i, n in enumerate([51, 49, 51, 49])]
+    rows = [(i, f"head of line{i}. {passage(n)}. end{i} of it\nlast {i}") for i, n in enumerate([5, 2, 5, 2])]
     got = {r["id"]: r["text"] for r in lines.dedup_lines(frame(spark, rows)).collect()}
-    assert got == {**dict(rows), 2: "head of line2 end2 of it\nlast 2"}
+    assert got == {**dict(rows), 2: "head of line2. end2 of it\nlast 2"}
+
+
+def test_all_shared_runs_are_found_through_the_fingerprints(spark):
+    """The windows that repeat are those found, and of each all places but the first go."""
+    rows = [r for r in run_rows() if r[1]]
+    windows = lines.window_table(frame(spark, rows), "doc_id", "text").collect()
+    by_content, by_print = {}, {}
+    for w in windows:
+        by_content.setdefault((w["fingerprint"], w["content"]), set()).add((w["id"], w["first"]))
+        by_print.setdefault(w["fingerprint"], set()).add((w["id"], w["at"]))
+        assert w["first"] <= w["at"] < w["first"] + w["lines"] <= w["first"] + lines.MOST_LINES
+    for (p, _), places in by_content.items():
+        assert len(places) == 1 or len(by_print[p]) > 1 or len({i for i, _ in places}) == 1
+    assert len(by_print) < 0.8 * len(windows)
 
 
 def test_runs_against_sql(spark, tmp_path):
-    frame(spark, run_rows()).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [*run_rows(), (80, "Ä line of words. " * 40), (81, "\x0b. one")]
+    frame(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(db.execute(lines.ORACLE_SQL).fetchall())
     got = queries.op1_line_dedup(spark, str(tmp_path)).collect()
-    assert sorted((r["doc_id"], r["n_words"], r["n_deleted"], r["text_md5"]) for r in got) == want
+    assert sorted((r["doc_id"], r["n_deleted"], r["n_chars"], r["text_md5"]) for r in got) == want
 
 
 def test_rules_against_sql_and_brute_force(spark):
