@@ -81,13 +81,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the projection is too large a method for the JIT compiler if it is one with what surrounds it
     windows = Table(window_table(docs, id_col, text_col, min_words), "line-windows", {"spark.sql.codegen.hugeMethodLimit": "8000"})
     place = F.xxhash64("key", "at")
-    seeds = windows.df.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fingerprint")
-    around = Table(windows.df.drop("at").join(seeds.hint("merge"), "fingerprint"), "line-matches")
+    # seeds and first places are written down, as Spark splits a frequent key of a join only without an aggregation in its stage
+    seeds = Table(windows.df.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fingerprint"), "line-seeds")
+    around = Table(windows.df.drop("at").join(seeds.df.hint("merge"), "fingerprint"), "line-matches")
     windows.drop()
+    seeds.drop()
 
     position = F.struct("id", "key", "first")
-    found = around.df.groupBy("fingerprint", "content").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = around.df.join(found.hint("merge"), ["fingerprint", "content"])
+    repeated = around.df.groupBy("fingerprint", "content").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = Table(repeated, "line-first-places")
+    joined = around.df.join(found.df.hint("merge"), ["fingerprint", "content"])
     later = joined.where(~position.eqNullSafe(F.col("earliest"))).select("key", "first", (F.col("first") + F.col("lines")).alias("end"))
     before = W.partitionBy("key").orderBy("first").rowsBetween(W.unboundedPreceding, -1)
     opened = later.withColumn("opens", F.coalesce((F.col("first") > F.max("end").over(before)).cast("int"), F.lit(1)))
@@ -95,6 +98,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = numbered.groupBy("key", "run").agg(F.min("first").alias("first"), (F.max("end") - 1).alias("last"))
     cut = Table(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")), "line-runs")
     around.drop()
+    found.drop()
     return cut.df
 
 
