@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, labelled as a whole.
 
-A sentence is toxic with probability logistic(bias + weights of its terms), a document with the noisy-or
-of its sentences. Fitted on document labels, the model then locates the offending sentences.
+A sentence is toxic with the probability by which its terms raise logistic(bias + weights of its terms) above
+logistic(bias): a sentence without a term of the model has none, so a long text of such sentences is no more
+toxic than a short one. A document is toxic with the noisy-or of its sentences and of a background that it has
+once, whatever its length. Fitted on document labels, the model then locates the offending sentences.
 """
 
 from __future__ import annotations
@@ -16,8 +18,12 @@ from pyspark.sql import functions as F
 from .common import require
 from .labelled import held_out, training_rows
 
-#: Most labelled rows of either class in the fit, terms of the model, and rows with a term for it to count.
-PER_CLASS, TERMS, LEAST_DOCS = 5_000, 400, 8
+#: Most labelled rows of either class in the fit, and terms of the model.
+PER_CLASS, TERMS = 5_000, 400
+#: Rows with a term, and its G-squared against the label (1 in 10,000 by chance), for it to count.
+LEAST_DOCS, LEAST_G2 = 8, 15.1
+#: Precision of the prior on the weights.
+PRIOR = 0.04
 
 _ENDS = b".!?\n"
 _BYTES = bytes(
@@ -32,16 +38,14 @@ def sentences(text: str | None) -> list[list[bytes]]:
     return [w for s in text.encode().translate(_BYTES).split(b"\n") if (w := s.split())]
 
 
-def _bag(text: str | None, vocabulary: dict[bytes, int]) -> tuple[int, list[list[int]]]:
-    """(number of sentences, term numbers of each sentence that has a term of the model)"""
+def _bag(text: str | None, vocabulary: dict[bytes, int]) -> list[list[int]]:
+    """Term numbers of each sentence that has a term of the model."""
     if not text:
-        return 0, []
+        return []
     raw = text.encode().translate(_BYTES)
-    parts = raw.split(b"\n")
-    n = len(parts) - sum(1 for p in parts if not p or p.isspace())
     if vocabulary.keys().isdisjoint(raw.split()):
-        return n, []
-    return n, [hit for s in parts if (hit := sorted({vocabulary[w] for w in s.split() if w in vocabulary}))]
+        return []
+    return [hit for s in raw.split(b"\n") if (hit := sorted({vocabulary[w] for w in s.split() if w in vocabulary}))]
 
 
 @dataclass
@@ -49,51 +53,57 @@ class NoisyOr:
     vocabulary: dict[bytes, int]
     weights: np.ndarray
     bias: float
+    background: float  #: log-odds of a document without any term
+
+    def hazard(self, z: np.ndarray | float) -> np.ndarray | float:
+        """-log(1 - p) of sentences, from their sums of weights and the bias."""
+        return np.maximum(0.0, np.logaddexp(0, z) - np.logaddexp(0, self.bias))
 
     def document(self, text: str | None) -> tuple[float, int, int | None]:
         """(probability, offending sentences, the first one's number from 0 among those with words)"""
-        n, hits = _bag(text, self.vocabulary)
-        z = np.array([self.weights[h].sum() for h in hits]) + self.bias
-        silent = n - len(hits)
-        log_clean = -np.logaddexp(0, z).sum() - silent * np.logaddexp(0, self.bias)
-        worst = int((z > 0).sum())
+        hits = _bag(text, self.vocabulary)
+        own = self.hazard(np.array([self.weights[h].sum() for h in hits]) + self.bias)
+        worst = int((own > np.log(2)).sum())
         first = None
         if worst:
             first = next(i for i, s in enumerate(sentences(text)) if self.sentence(s) > 0.5)
-        return float(-np.expm1(log_clean)), worst, first
+        return float(-np.expm1(-own.sum() - np.logaddexp(0, self.background))), worst, first
 
     def sentence(self, words: list[bytes]) -> float:
-        z = self.bias + sum(self.weights[i] for i in {self.vocabulary[w] for w in words if w in self.vocabulary})
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        known = sorted({self.vocabulary[w] for w in words if w in self.vocabulary})
+        return float(-np.expm1(-self.hazard(self.bias + self.weights[known].sum()))) if known else 0.0
 
 
-def fit(bags: list[tuple[int, list[list[int]]]], y: np.ndarray, weight: np.ndarray, terms: int, prior: float = 0.04, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias with the least weighted negative log-likelihood of the document labels, by Adam.
+def fit(bags: list[list[list[int]]], y: np.ndarray, weight: np.ndarray, terms: int, prior: float = PRIOR, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and background with the least weighted negative log-likelihood of the document labels, by Adam.
 
     prior is the precision of a Gaussian prior on each weight; its share falls with the number of documents."""
     l2 = prior / max(1, len(bags))
-    owner = np.repeat(np.arange(len(bags)), [len(h) for _, h in bags]).astype(np.int64)
-    silent = np.array([n - len(h) for n, h in bags], float)
-    sizes = np.array([len(s) for _, h in bags for s in h], np.int64)
-    flat = np.array([t for _, h in bags for s in h for t in s], np.int64)
+    owner = np.repeat(np.arange(len(bags)), [len(h) for h in bags]).astype(np.int64)
+    sizes = np.array([len(s) for h in bags for s in h], np.int64)
+    flat = np.array([t for h in bags for s in h for t in s], np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    theta = np.zeros(terms + 1)
-    theta[-1] = -4.0
+    theta = np.zeros(terms + 2)
+    theta[-2:] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for step in range(1, steps + 1):
-        w, b = theta[:-1], theta[-1]
+        w, b, background = theta[:-2], theta[-2], theta[-1]
         z = np.bincount(row, w[flat], minlength=len(sizes)) + b
-        log_clean = -np.bincount(owner, np.logaddexp(0, z), minlength=len(bags)) - silent * np.logaddexp(0, b)
-        # d loss / d log_clean: -1 for label 0, exp(l) / (1 - exp(l)) for label 1
-        slope = weight * np.where(y == 1, 1 / np.maximum(np.expm1(-log_clean), 1e-9), -1.0)
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        gz = -slope[owner] * p
+        above = z >= b
+        hazard = np.where(above, np.logaddexp(0, z) - np.logaddexp(0, b), 0.0)
+        total = np.bincount(owner, hazard, minlength=len(bags)) + np.logaddexp(0, background)
+        # d loss / d total: 1 for label 0, -1 / (exp(total) - 1) for label 1
+        slope = weight * np.where(y == 1, -1 / np.maximum(np.expm1(total), 1e-9), 1.0)
+        own = np.where(above, slope[owner], 0.0)
+        gz = own * logistic(z)
         gradient = np.zeros_like(theta)
-        gradient[:-1] = np.bincount(flat, gz[row], minlength=terms) + l2 * w
-        gradient[-1] = gz.sum() - (slope * silent).sum() / (1 + np.exp(-b))
+        gradient[:-2] = np.bincount(flat, gz[row], minlength=terms) + l2 * w
+        gradient[-2] = gz.sum() - own.sum() * logistic(b)
+        gradient[-1] = slope.sum() * logistic(background)
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return theta[:-1], float(theta[-1])
+    return theta[:-2], float(theta[-2]), float(theta[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, terms: int = TERMS) -> NoisyOr:
@@ -105,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     try:
         n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
         if not n.get(0) or not n.get(1):
-            return NoisyOr({}, np.zeros(0), -12.0)
+            return NoisyOr({}, np.zeros(0), -12.0, -12.0)
         distinct = F.pandas_udf(lambda t: pd.Series([sorted(x.decode() for x in {w for s in sentences(d) for w in s}) for d in t]), "array<string>")
         seen = sample.select("y", F.explode(distinct("text")).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
         cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
@@ -113,30 +123,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         df = a + b
         total = n1 + n0
         g2 = cell(a, df * n1 / total) + cell(b, df * n0 / total) + cell(n1 - a, (total - df) * n1 / total) + cell(n0 - b, (total - df) * n0 / total)
-        top = seen.where(df >= LEAST_DOCS).select("term", g2.alias("g2")).orderBy(F.desc("g2"), "term").limit(terms).collect()
+        more = a / n1 > b / n0  # than expected; other terms can't make a sentence toxic
+        top = seen.where((df >= LEAST_DOCS) & more).select("term", g2.alias("g2")).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(terms).collect()
         vocabulary = {r["term"].encode(): i for i, r in enumerate(top)}
 
-        def bags(texts: pd.Series) -> pd.DataFrame:
-            found = [_bag(t, vocabulary) for t in texts]
-            return pd.DataFrame({"n": [k for k, _ in found], "hits": [h for _, h in found]})
-
-        got = sample.select("id", "y", F.pandas_udf(bags, "n int, hits array<array<int>>")("text").alias("b")).select("id", "y", "b.*").collect()
+        bags = F.pandas_udf(lambda texts: pd.Series([_bag(t, vocabulary) for t in texts]), "array<array<int>>")
+        got = sample.select("id", "y", bags("text").alias("hits")).collect()
     finally:
         sample.unpersist()
-    got.sort(key=lambda r: (str(r["id"]), r["y"], r["n"], str(r["hits"])))
+    got.sort(key=lambda r: (str(r["id"]), r["y"], str(r["hits"])))
     y = np.array([r["y"] for r in got])
     share = np.array([counts[0], counts[1]], float) / (counts[0] + counts[1])
     weight = share[y] / np.array([n[0], n[1]])[y]
-    weights, bias = fit([(r["n"], r["hits"]) for r in got], y, weight, len(vocabulary))
-    return NoisyOr(vocabulary, weights, bias)
+    return NoisyOr(vocabulary, *fit([r["hits"] for r in got], y, weight, len(vocabulary)))
 
 
 def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted, n_offending, first_offending) per row of docs, from the whole text.
 
     n_offending counts sentences whose own probability is over one half, first_offending is the number of
-    the first (null if none). Null and blank texts have no sentences and score 0. Null ids and repeated
-    rows stay. Without labels of both classes nothing is called toxic.
+    the first (null if none). Null and blank texts, and texts of any length without a term of the model, score the
+    background, which is small. Null ids and repeated rows stay. Without labels of both classes nothing is called
+    toxic.
     """
     require(docs, id_col, text_col)
 
