@@ -10,15 +10,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, require
+from .common import Table, materialise, require
 
 #: Most labelled rows of a domain and tokens that the classifier is fitted on; rows with a token for it to count.
 PER_DOMAIN, TOKENS, LEAST_ROWS = 2_500, 48, 10
-#: Most steps of the solver, steps between two writes of the rates, and the share of all tokens a total may be off.
-STEPS, WRITE_EVERY, TOLERANCE = 60, 8, 1e-6
+#: Most passes of the solver, its ridge as a share of all tokens, and what is left of the gradient, as a share of the targets.
+STEPS, RIDGE, TOLERANCE = 200, 1e-8, 1e-8
 
 
 def featured(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -96,17 +97,23 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     def cell(o: Column, e: Column) -> Column:
         return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
 
-    g2 = F.lit(0.0)
-    for i, d in enumerate(domains):
+    counted = Table(seen.where((df >= LEAST_ROWS) & (F.col("token") != "")), "mix-tokens")
+    best = {}
+    for i, d in enumerate(domains):  # the tokens that tell the domain from all others, by G-squared
         k = float(n.get(d, 0))
-        if k:
-            g2 = g2 + cell(have[i], df * k / total) + cell(k - have[i], (total - df) * k / total)
-    best = seen.where((df >= LEAST_ROWS) & (F.col("token") != "")).select("token", *have, g2.alias("g2")).orderBy(F.desc("g2"), "token").limit(tokens).collect()
+        if not k or k == total:
+            continue
+        other = df - have[i]
+        cells = [(have[i], df * k / total), (k - have[i], (total - df) * k / total), (other, df * (total - k) / total), (total - k - other, (total - df) * (total - k) / total)]
+        g2 = cell(*cells[0]) + cell(*cells[1]) + cell(*cells[2]) + cell(*cells[3])
+        marks = counted.df.where(have[i] * total > df * k).select("token", *have, g2.alias("g2"))
+        best |= {r["token"]: r for r in marks.orderBy(F.desc("g2"), "token").limit(-(-tokens // len(domains))).collect()}
+    counted.drop()
     sample.drop()
     every = sum(counts.values())
     prior = [math.log(counts[d] / every) for d in domains]
     weight: dict[str, list[float]] = {}
-    for r in best:
+    for _, r in sorted(best.items()):
         logit = []
         for i, d in enumerate(domains):
             p = (r[f"n{i}"] + 0.5) / (n.get(d, 0) + 1.0)
@@ -124,67 +131,68 @@ def memberships(docs: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text
     )
 
 
-def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Gaussian elimination with pivots, for one unknown a domain."""
-    a = [[*row, b] for row, b in zip(matrix, right, strict=True)]
-    for i in range(len(a)):
-        k = max(range(i, len(a)), key=lambda r: abs(a[r][i]))
-        a[i], a[k] = a[k], a[i]
-        for r in range(len(a)):
-            if r != i and a[r][i]:
-                f = a[r][i] / a[i][i]
-                a[r] = [x - f * y for x, y in zip(a[r], a[i], strict=True)]
-    return [row[-1] / row[i] for i, row in enumerate(a)]
+def rate_column(domains: int, push: list[float]) -> Column:
+    """The rate of a document for one push a domain: a projected gradient step of that length from rate 1."""
+    moved = F.lit(1.0)
+    for i, x in enumerate(push):
+        moved = moved + F.col(f"p{i}") * F.lit(float(x))
+    return F.greatest(F.lit(0.0), moved)
 
 
-def fit_rates(held: Table, domains: int, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of held (tokens, p0.., rate), which is used up, with other rates >= 0: then
-    sum(rate * tokens * p[d]) is as near to targets[d] as it can be.
+def fit_rates(held: DataFrame, domains: int, targets: list[float], steps: int = STEPS) -> DataFrame:
+    """The rows of held (tokens, p0, p1, ...) with the column rate >= 0: sum(rate * tokens * p[d]) over all rows is as
+    near to targets[d], in squared error summed over the domains, as nonnegative rates can bring it.
 
-    Projected gradient from the given rates on the squared error. Steps are scaled by the inverse of the matrix
-    sum(tokens * p * p') over the documents with a positive rate, and halved whenever the error would grow.
-    One aggregation a step.
+    The gradient of the squared error for a rate is tokens * (p . off), where off is how much each domain has too
+    much. A document's rate is the projection max(0, 1 + p . push) of a step from rate 1 (scaled by 1 / tokens, so that
+    the length of a text doesn't matter), where push gathers the steps made so far, -off times their lengths. A length
+    for each direction comes from the curvature sum(tokens * p * p') over the documents with a positive rate, and is
+    quartered until the objective falls; with one length for all, hundreds of passes were needed. In the limit push
+    is -off / ridge, so every rate fulfils the condition for the least error; of all rates that do, these are nearest to
+    1. One aggregation a pass, nothing else is kept; an error if the gradient hasn't vanished after `steps` passes.
     """
     p = [F.col(f"p{i}") for i in range(domains)]
     pairs = [(i, j) for i in range(domains) for j in range(i, domains)]
-    free = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
-    scale = max(sum(abs(t) for t in targets), 1e-300)
-
-    def look(df: DataFrame) -> tuple[list[float], list[list[float]]]:
-        r = df.agg(
+    target = np.array(targets, float)
+    size = max(float(np.abs(target).sum()), 1e-300)
+
+    def look(push: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gradient, curvature and value of the objective at push."""
+        rate = rate_column(domains, push.tolist())
+        rated = held.select("tokens", *(f"p{i}" for i in range(domains)), rate.alias("rate"))
+        free = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
+        r = rated.agg(
             *(F.coalesce(F.sum(F.col("rate") * F.col("tokens") * c), F.lit(0.0)) for c in p),
             *(F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)) for i, j in pairs),
+            F.coalesce(F.sum(F.col("rate") * F.col("rate") * F.col("tokens")), F.lit(0.0)),
         ).first()
-        b = dict(zip(pairs, r[domains:], strict=True))
-        ridge = 1e-9 * max(sum(b[i, i] for i in range(domains)), 1e-300)
-        return [g - t for g, t in zip(r, targets, strict=False)], [[b[min(i, j), max(i, j)] + ridge * (i == j) for j in range(domains)] for i in range(domains)]
-
-    now, depth, part = held.df, 0, 1.0
-    off, matrix = look(now)
-    for _ in range(steps):
-        if max(map(abs, off)) <= tolerance * scale:
-            break
-        move = _solve(matrix, off)
-        if max(map(abs, move)) * part < 1e-9:
-            break
-        step = F.lit(0.0)
-        for c, m in zip(p, move, strict=True):
-            step = step + c * (m * part)
-        tried = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - step))
-        new_off, new_matrix = look(tried)
-        error, new_error = sum(x * x for x in off), sum(x * x for x in new_off)
-        if new_error >= error:
-            part /= 2
-            continue
-        settled = new_error > (1 - 1e-7) * error
-        now, off, matrix, depth, part = tried, new_off, new_matrix, depth + 1, min(1.0, 2 * part)
-        if settled:
-            break
-        if depth >= WRITE_EVERY:
-            new = Table(now, "mix-rates")
-            held.drop()
-            held, now, depth = new, new.df, 0
-    return now
+        curvature = np.zeros((domains, domains))
+        for (i, j), x in zip(pairs, r[domains:-1], strict=True):
+            curvature[i, j] = curvature[j, i] = x
+        curvature += ridge * np.eye(domains)
+        return np.array(r[:domains]) - target + ridge * push, curvature, float(r[-1] / 2 - target @ push + ridge / 2 * push @ push)
+
+    every = held.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    ridge, push = RIDGE * max(float(every), 1e-300), np.zeros(domains)
+    if not every:
+        return held.withColumn("rate", F.lit(1.0))
+    gradient, curvature, value = look(push)
+    part, passes = 1.0, 1
+    while np.linalg.norm(gradient) > TOLERANCE * size:
+        if passes >= steps:
+            raise RuntimeError(f"the rates did not settle in {steps} passes")
+        move = -np.linalg.solve(curvature, gradient)
+        tried = push + part * move
+        new = look(tried)
+        passes += 1
+        if new[2] <= value + 1e-4 * part * float(gradient @ move) + 1e-13 * abs(value):
+            push, part = tried, 1.0
+            gradient, curvature, value = new
+        elif part < 1e-9:
+            raise RuntimeError("the rates did not settle: no step lowers the error")
+        else:
+            part /= 4
+    return held.withColumn("rate", rate_column(domains, push.tolist()))
 
 
 def totals(rated: DataFrame, domains: int) -> list[float]:
@@ -194,6 +202,9 @@ def totals(rated: DataFrame, domains: int) -> list[float]:
 
 def target_totals(weights: dict[str, float], domains: list[str], available: list[float], budget: float | None) -> list[float]:
     """Tokens wanted of each domain. Without a budget, the most for which no domain needs more than it has."""
+    unknown = sorted(d for d, w in weights.items() if w > 0 and d not in domains)
+    if unknown:
+        raise ValueError(f"no labelled rows for the target domains {unknown}; there are {domains}")
     share = [max(0.0, weights.get(d, 0.0)) for d in domains]
     if not sum(share):
         raise ValueError("no domain has a positive target weight")
@@ -206,9 +217,10 @@ def target_totals(weights: dict[str, float], domains: list[str], available: list
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", budget: float | None = None, whole: DataFrame | None = None, filtered: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """((id, tokens, p0.., rate) per row of docs, the domains in the order of p0..).
 
-    weights: target share of the tokens by domain; a domain without a weight gets none. Null and blank
-    texts have 0 tokens and weigh nothing, their rate follows their posterior. Null ids and repeated rows
-    stay, each with its rate. Empty docs give an empty result.
+    weights: target share of the tokens by domain; a domain without a weight gets none, a weight of a domain that
+    isn't labelled is an error. Targets that can't be met are met with the least squared error. Null and blank texts
+    have 0 tokens and weigh nothing, their rate follows their posterior. Null ids and repeated rows stay, each with
+    its rate. Empty docs give an empty result.
 
     whole: the documents that docs was filtered from. The classifier is fitted on them, as a domain that is
     nearly gone from docs can't be learned there. What a filter took from the filtered domains limits neither the
@@ -216,8 +228,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     """
     every = docs if whole is None else whole
     model = fit_classifier(every, labelled, id_col, text_col, domain_col)
-    held, n = Table(memberships(docs, model, id_col, text_col).withColumn("rate", F.lit(1.0)), "mix-rates"), len(model.domains)
-    available = totals(held.df, n)
+    held, n = materialise(memberships(docs, model, id_col, text_col), "mix-memberships"), len(model.domains)
+    available = totals(held.withColumn("rate", F.lit(1.0)), n)
     gone = [whole is not None and d in filtered for d in model.domains]
     before = available
     if any(gone):
