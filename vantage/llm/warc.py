@@ -22,6 +22,8 @@ from .common import Table, new_path, require
 
 #: Bytes of a reading task's range, bytes read at a time, and bytes of a file after which the next is begun.
 SPLIT, BLOCK, ROLL = 32 << 20, 1 << 20, 1 << 30
+#: Most repeated payloads whose digests are broadcast.
+BROADCAST_ROWS = 200_000
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 1000
 DATE = "2000-01-01T00:00:00Z"
@@ -63,22 +65,38 @@ def record(kind: str, page_id: object, url: str | None, payload: bytes, refers_t
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def with_originals(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def with_originals(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = BROADCAST_ROWS) -> DataFrame:
     """pages with refers_to: the largest id among equal payloads of LEAST_REVISIT bytes or more, null for the
-    row that has it, for smaller payloads and for null ids. Rows that repeat the largest id are all originals."""
+    row that has it, for smaller payloads and for null ids. Rows that repeat the largest id are all originals.
+
+    Up to `most` payloads that repeat are broadcast, so that no html is shuffled. Beyond, pages with a digest are
+    joined by it; those without one have no part in the join, and a frequent payload is one that Spark may split."""
     body = F.coalesce(F.col(html_col), F.lit(""))
     keyed = pages.select(F.col(id_col).alias("id"), body.alias("html"), *([F.col("url")] if "url" in pages.columns else [F.lit(None).cast("string").alias("url")])).withColumn(
         "digest", F.when(F.octet_length("html") >= LEAST_REVISIT, F.sha1(F.col("html").cast("binary")))
     )
     groups = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.max("id").alias("original"), F.count("*").alias("n"))
     originals = Table(groups.where("n > 1").drop("n"), "warc-originals").df
-    return keyed.join(originals.hint("merge"), "digest", "left").select("id", "url", "html", F.when(F.col("id") < F.col("original"), F.col("original")).alias("refers_to"))
+    refers = F.when(F.col("id") < F.col("original"), F.col("original")).alias("refers_to")
+    if originals.count() <= most:
+        return keyed.join(F.broadcast(originals), "digest", "left").select("id", "url", "html", refers)
+    joined = keyed.where("digest IS NOT NULL").join(originals.hint("merge"), "digest", "left").select("id", "url", "html", refers)
+    return joined.union(keyed.where("digest IS NULL").select("id", "url", "html", F.lit(None).cast(keyed.schema["id"].dataType)))
+
+
+def _sweep(spark: SparkSession, folder: str, kept: set[str]) -> None:
+    """Delete what lost or second attempts have left in a folder: every file but those of the manifest."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in store.listStatus(top) if kept else []:
+        if found.getPath().getName() not in kept:
+            store.delete(found.getPath(), False)
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", html_col: str = "html", roll: int = ROLL) -> DataFrame:
     """Writes a record per row of pages into .warc.gz files in folder, one or more a task; returns the written
-    manifest (path, bytes, records). A task writes under a name of its attempt and renames at its end, so a
-    lost executor or a second attempt leaves whole files under the same names."""
+    manifest (path, bytes, records). A task writes under a hidden name and renames whole files, whose names hold the
+    number of its attempt: files of two attempts never mix, and what the manifest doesn't have is deleted."""
     require(pages, id_col, html_col)
     rows = with_originals(pages, id_col, html_col)
     schema = "path string, bytes long, records long"
@@ -96,7 +114,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", html_col:
             if out is None:
                 return
             out.close()
-            name = f"part-{context.partitionId():06d}-{len(made):04d}.warc.gz"
+            name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{len(made):04d}.warc.gz"
             store.move(temporary, f"{top}/{name}")
             made.append((f"{folder}/{name}", size, count))
             out, size, count = None, 0, 0
@@ -117,7 +135,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", html_col:
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], ["path", "bytes", "records"])
 
-    return Table(rows.mapInArrow(write, schema), "warc-manifest").df
+    manifest = Table(rows.mapInArrow(write, schema), "warc-manifest").df
+    _sweep(pages.sparkSession, folder, {r["path"].rpartition("/")[2] for r in manifest.select("path").collect()})  # a name a file
+    return manifest
 
 
 class _Source:
@@ -208,11 +228,11 @@ def records_in(handle, start: int, end: int) -> Iterator[tuple[int, dict[str, st
 def read_warc(spark: SparkSession, paths: DataFrame, split: int = SPLIT) -> DataFrame:
     """Records of the files in paths (path, bytes): path, start, record_type, record_id, url, refers_to,
     payload_bytes (of the full payload, also for revisits), payload_digest (bare hexadecimal SHA-1), payload
-    (null for revisits). Other record types and unsound members are passed over."""
+    (null for revisits). Other record types, unsound members and empty files are passed over."""
     schema = T.StructType.fromDDL(
         "path string, start long, record_type string, record_id string, url string, refers_to string, payload_bytes long, payload_digest string, payload binary"
     )
-    ranges = paths.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start")).select(
+    ranges = paths.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start")).select(
         "path", "start", F.least(F.col("start") + split, "bytes").alias("end")
     )
 
