@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import os
 import random
 import re
 
@@ -69,6 +70,29 @@ def test_files_are_gzip_members_and_roll(spark):
     assert hashlib.sha1(body["payload"]).hexdigest() == body["payload_digest"]
 
 
+def test_originals_are_the_same_with_and_without_a_broadcast(spark):
+    rows = pages(spark, [*page_rows(), (7, "u", "x" * 5000), (7, "u", "x" * 5000), (3, "u", "x" * 5000)])
+    found = [sorted(map(tuple, warc.with_originals(rows, most=most).select("id", "url", "html", "refers_to").collect()), key=str) for most in (0, 1000)]
+    assert found[0] == found[1] and sum(r[3] is not None for r in found[0]) > 30
+    plan = warc.with_originals(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_empty_archives_and_files_of_other_attempts(spark):
+    folder = new_path(spark, "warc-empty")
+    warc.write_warc(pages(spark, page_rows()), folder)
+    top = folder.removeprefix("file://")
+    open(f"{top}/empty.warc.gz", "wb").close()
+    listed = warc.archive_files(spark, folder + "/*.warc.gz")
+    empty = spark.createDataFrame([(f"{folder}/empty.warc.gz", 0)], "path string, bytes long")
+    assert warc.read_warc(spark, listed.union(empty)).count() == len(page_rows()) and warc.read_warc(spark, empty).count() == 0
+    open(f"{top}/_attempt-1-0", "wb").write(b"half a file")
+    open(f"{top}/part-000000-99-0000.warc.gz", "wb").write(warc.record("response", 1, "u", b"of a lost attempt"))
+    before = {r["path"].rpartition("/")[2] for r in listed.collect()} - {"empty.warc.gz"}
+    warc._sweep(spark, folder, before)
+    assert {f for f in os.listdir(top) if not f.startswith(".")} == before
+
+
 def test_junk_between_members_is_passed_over():
     good = [warc.record("response", i, "u", b"x%d" % i * 50) for i in range(3)]
     other = gzip.compress(b"not a record")
