@@ -3,8 +3,9 @@
 The index is partitioned by document: each row is a block of whole documents with, for every term,
 the ascending positions at which it stands in the block. Documents of a block are one unused position
 apart, so no phrase spans two of them. A phrase is found by taking the posting list of its rarest term
-(document frequency over all blocks), shifting it by the term's offset, and intersecting it with the
-shifted lists of the next rarer terms until it is empty or every term has been matched.
+(postings over all blocks), shifting it by the term's offset, and intersecting it with the shifted lists of
+the next rarer terms until it is empty or every term has been matched; all phrases of a turn at once, one
+array operation for each place in the order of rarity.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,10 @@ from .common import materialise, require
 WINDOW = 13
 #: Words of a block of the index, give or take a document.
 BLOCK_WORDS = 1 << 20
-#: Most test items that are matched, and broadcast, at a time; more are matched in turns.
-ITEMS_AT_ONCE, ITEM_BYTES_AT_ONCE = 20_000, 64 << 20
+#: Most test items, and bytes of them, that are matched, and broadcast, at a time; more are matched in turns.
+ITEMS_AT_ONCE, ITEM_BYTES_AT_ONCE = 20_000, 16 << 20
+#: Candidate places that are looked at together; bounds a task's memory.
+CHUNK = 1 << 20
 #: Most test terms that an index is restricted to; beyond, it holds every term.
 RESTRICT_TERMS = 1_000_000
 
@@ -130,95 +134,146 @@ def document_frequency(index: DataFrame) -> DataFrame:
 
 @dataclass
 class Phrases:
-    """Distinct phrases of test items over a numbered vocabulary, rarest terms first."""
+    """Windows of test items over a numbered vocabulary, in order of their rarest terms."""
 
     names: list[str]  #: ids of the items
     vocabulary: dict[bytes, int]
-    terms: list[np.ndarray]  #: by phrase: term numbers, rarest first
-    offsets: list[np.ndarray]  #: by phrase: their places in the phrase
-    owners: list[list[int]]  #: by phrase: its items
+    rarity: np.ndarray  #: by term: its postings in the whole index
+    words: np.ndarray  #: term numbers of all items, one after the other
+    first: np.ndarray  #: by window: its first word in words
+    length: np.ndarray
+    owner: np.ndarray  #: by window: number of its item
+    rarest: np.ndarray  #: by window: its rarest term
+    shift: np.ndarray  #: by window: where that stands in it
 
 
-def windows(words: list[bytes], length: int = WINDOW) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return [tuple(words[i : i + length]) for i in range(max(1, len(words) - length + 1))]
-
-
-def compile_phrases(items: list[tuple[str, str]], postings: dict[str, int], length: int = WINDOW) -> Phrases:
+def item_words(items: list[tuple[str, str]]) -> tuple[dict[str, int], dict[bytes, int], list[tuple[int, np.ndarray]]]:
+    """(numbers of the items' ids, numbers of the terms, (item, terms) of every item with words)"""
     names: dict[str, int] = {}
     vocabulary: dict[bytes, int] = {}
-    owners: dict[tuple[bytes, ...], list[int]] = {}
+    found = []
     for name, text in items:
         n = names.setdefault(name, len(names))
-        for w in windows(words_of(text), length):
-            mine = owners.setdefault(w, [])
-            if not mine or mine[-1] != n:
-                mine.append(n)
-    terms, offsets = [], []
-    for w in owners:
-        t = np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w])
-        rarity = np.array([postings.get(x.decode(), 1 << 62) for x in w])
-        o = np.argsort(rarity, kind="stable")
-        terms.append(t[o])
-        offsets.append(o)
-    return Phrases(list(names), vocabulary, terms, offsets, list(owners.values()))
-
-
-def _postings(phrases: Phrases, terms: list[str], counts: np.ndarray, positions: bytes) -> dict[int, np.ndarray]:
-    p, ends = np.frombuffer(positions, "<i4"), np.cumsum(counts)
-    found = ((phrases.vocabulary.get(t.encode()), i) for i, t in enumerate(terms))
-    return {v: p[ends[i] - counts[i] : ends[i]] for v, i in found if v is not None}
-
-
-def _exact(phrases: Phrases, lists: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(phrase, starts) of the phrases that occur in a block."""
-    there = np.zeros(len(phrases.vocabulary) + 1, bool)
-    there[list(lists)] = True
-    for k, (terms, offsets) in enumerate(zip(phrases.terms, phrases.offsets, strict=True)):
-        if not there[terms].all():
-            continue
-        starts = lists[terms[0]] - offsets[0]
-        for t, o in zip(terms[1:].tolist(), offsets[1:].tolist(), strict=True):
-            p, want = lists[t], starts + o
-            i = np.searchsorted(p, want)
-            i[i == len(p)] = 0
-            starts = starts[p[i] == want]
-            if not len(starts):
-                break
-        if len(starts):
-            yield k, starts
-
-
-def _near(phrases: Phrases, lists: dict[int, np.ndarray], slack: int, begins: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(phrase, starts of least spans) where all terms stand, in any order, within length + slack words."""
-    for k, terms in enumerate(phrases.terms):
-        need, span = list(dict.fromkeys(terms.tolist())), len(terms) + slack
-        if not all(t in lists for t in need):
-            continue
-        centre = lists[need[0]]
-        for t in need[1:]:  # the rarest term's places that have each other term within a span
-            p = lists[t]
-            i = np.searchsorted(p, centre)
-            after = np.where(i < len(p), p[np.minimum(i, len(p) - 1)] - centre, span)
-            before = np.where(i > 0, centre - p[np.maximum(i - 1, 0)], span)
-            centre = centre[np.minimum(after, before) < span]
-            if not len(centre):
-                break
-        starts = set()
-        for c in centre.tolist():
-            d = int(np.searchsorted(begins, c, "right"))
-            first, end = max(c - span + 1, int(begins[d - 1])), min(c + span, int(begins[d]) if d < len(begins) else c + span)
-            close = sorted((int(x), t) for t in need for x in lists[t][np.searchsorted(lists[t], first) : np.searchsorted(lists[t], end)])
-            for a, _ in close:
-                if a <= c and {t for x, t in close if a <= x < a + span} == set(need):
-                    starts.add(a)
-        if starts:
-            yield k, np.array(sorted(starts))
+        w = words_of(text)
+        if w:
+            found.append((n, np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int32)))
+    return names, vocabulary, found
+
+
+def compile_phrases(names: dict[str, int], vocabulary: dict[bytes, int], found: list[tuple[int, np.ndarray]], postings: dict[bytes, int], length: int = WINDOW) -> Phrases:
+    """Windows with a term that has no postings are left out: they stand nowhere."""
+    rarity = np.array([postings.get(t, 0) for t in vocabulary], np.int64)
+    parts, base = [], 0
+    for n, w in found:
+        size = min(length, len(w))
+        runs = np.lib.stride_tricks.sliding_window_view(rarity[w], size)
+        shift, first = runs.argmin(axis=1), np.arange(len(runs))
+        there = np.flatnonzero(runs.min(axis=1) > 0)
+        full = lambda x, k=len(there): np.full(k, x, np.int32)
+        parts.append([x.astype(np.int32) for x in (first[there] + base, full(size), full(n), w[first[there] + shift[there]], shift[there])])
+        base += len(w)
+    first, size, owner, rarest, shift = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.empty(0, np.int32)] * 5
+    by = np.argsort(rarest, kind="stable")
+    words = np.concatenate([w for _, w in found]) if found else np.empty(0, np.int32)
+    return Phrases(list(names), vocabulary, rarity, words, first[by], size[by], owner[by], rarest[by], shift[by])
+
+
+@dataclass
+class Block:
+    """Posting lists of the test terms in a block, in order of the terms, and the term at every position."""
+
+    begins: np.ndarray  #: by term: where its list begins
+    places: np.ndarray
+    at: np.ndarray
+
+
+def _block(phrases: Phrases, terms: list[str], counts: np.ndarray, positions: bytes, size: int) -> Block:
+    numbers = np.array([phrases.vocabulary.get(t.encode(), -1) for t in terms], np.int64)
+    owner, places = np.repeat(numbers, counts), np.frombuffer(positions, "<i4")
+    known = owner >= 0
+    owner, places = owner[known], places[known]
+    at = np.full(size, -1, np.int32)
+    at[places] = owner
+    by = np.argsort(owner, kind="stable")  # lists stay ascending
+    return Block(np.searchsorted(owner[by], np.arange(len(phrases.vocabulary) + 1)), places[by].astype(np.int64), at)
+
+
+def _candidates(phrases: Phrases, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, places of their rarest term) for all places of the rarest term, some CHUNK of them at a time."""
+    counts = np.diff(block.begins)[phrases.rarest] if len(phrases.rarest) else np.empty(0, np.int64)
+    live = np.flatnonzero(counts)
+    ends = np.cumsum(counts[live])
+    a = 0
+    while a < len(live):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+        k = live[a:b]
+        n, before = counts[k], (ends[a - 1] if a else 0)
+        inside = np.arange(ends[b - 1] - before) - np.repeat(ends[a:b] - n - before, n)
+        places = block.places[np.repeat(block.begins[phrases.rarest[k]], n) + inside]
+        for c in range(0, len(places), 4 * CHUNK):  # one term may have more than a chunk
+            yield np.repeat(k, n)[c : c + 4 * CHUNK], places[c : c + 4 * CHUNK]
+        a = b
+
+
+def _terms_by_rarity(phrases: Phrases, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, offsets) of windows of one size, rarest first."""
+    terms = phrases.words[phrases.first[windows][:, None] + np.arange(size)]
+    by = np.argsort(phrases.rarity[terms], axis=1, kind="stable")
+    return np.take_along_axis(terms, by, axis=1), by
+
+
+def _exact(phrases: Phrases, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, starts) of the windows that occur in a block."""
+    for windows_, places in _candidates(phrases, block):
+        starts = places - phrases.shift[windows_]
+        for size in np.unique(phrases.length[windows_]).tolist():
+            mine = (phrases.length[windows_] == size) & (starts >= 0) & (starts + size <= len(block.at))
+            k, s = windows_[mine], starts[mine]
+            distinct, which = np.unique(k, return_inverse=True)
+            terms, offsets = _terms_by_rarity(phrases, distinct, size)
+            for j in range(1, size):
+                if not len(k):
+                    break
+                holds = block.at[s + offsets[which, j]] == terms[which, j]
+                k, s, which = k[holds], s[holds], which[holds]
+            if len(k):
+                yield k, s
+
+
+def _near(phrases: Phrases, block: Block, slack: int, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, starts of least spans) where all terms stand, in any order, within length + slack words."""
+    owner = np.repeat(np.arange(len(block.begins) - 1), np.diff(block.begins))
+    keys = owner << 32 | block.places
+    for windows_, places in _candidates(phrases, block):
+        for size in np.unique(phrases.length[windows_]).tolist():
+            mine, span = phrases.length[windows_] == size, size + slack
+            k, c = windows_[mine], places[mine]
+            distinct, which = np.unique(k, return_inverse=True)
+            terms, _ = _terms_by_rarity(phrases, distinct, size)
+            for j in range(1, size):  # the rarest term's places that have each other term within a span
+                t = terms[which, j].astype(np.int64)
+                i = np.searchsorted(keys, t << 32 | c)
+                after, before = np.minimum(i, len(keys) - 1), np.maximum(i - 1, 0)
+                close = (owner[after] == t) & (block.places[after] >= c) & (block.places[after] - c < span)
+                close |= (owner[before] == t) & (block.places[before] < c) & (c - block.places[before] < span)
+                k, c, which = k[close], c[close], which[close]
+            found: set[tuple[int, int]] = set()
+            for w, centre, row in zip(k.tolist(), c.tolist(), which.tolist(), strict=True):
+                need = set(terms[row].tolist())
+                d = int(np.searchsorted(begins, centre, "right"))
+                first, end = max(centre - span + 1, int(begins[d - 1])), min(centre + span, int(begins[d]) if d < len(begins) else centre + span)
+                here = block.at[first:end].tolist()
+                for a in range(first, centre + 1):
+                    if here[a - first] in need and need <= set(here[a - first : a - first + span]):
+                        found.add((w, a))
+            if found:
+                rows = np.array(sorted(found))
+                yield rows[:, 0], rows[:, 1]
 
 
 def _matches(index: DataFrame, phrases: Phrases, slack: int | None) -> DataFrame:
-    """(block, ids, n_words, item names, and binary int32 lists starts, lengths, item numbers)."""
+    """(block, ids, n_words, item names, and binary int32 lists starts, lengths, item numbers), written down, so that
+    the broadcast phrases are needed no more."""
     spark = index.sparkSession
     held = spark.sparkContext.broadcast(phrases)
     schema = T.StructType(
@@ -232,24 +287,23 @@ def _matches(index: DataFrame, phrases: Phrases, slack: int | None) -> DataFrame
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {n: batch.column(n)[r] for n in batch.schema.names}
-                lists = _postings(ph, x["terms"].as_py(), x["counts"].values.to_numpy(zero_copy_only=False).astype(np.int64), x["positions"].as_py())
-                starts, lengths, items = [], [], []
-                begins = _document_starts(x["n_words"].values.to_numpy(zero_copy_only=False))
-                for k, at in _exact(ph, lists) if slack is None else _near(ph, lists, slack, begins):
-                    for owner in ph.owners[k]:
-                        starts.append(at)
-                        lengths.append(np.full(len(at), len(ph.terms[k]) + (slack or 0)))
-                        items.append(np.full(len(at), owner))
-                used, codes = np.unique(np.concatenate(items), return_inverse=True) if items else ([], np.empty(0))
-                flat = [(np.concatenate(v) if v else np.empty(0)).astype("<i4").tobytes() for v in (starts, lengths)]
+                sizes = x["n_words"].values.to_numpy(zero_copy_only=False)
+                block = _block(ph, x["terms"].as_py(), x["counts"].values.to_numpy(zero_copy_only=False).astype(np.int64), x["positions"].as_py(), int(sizes.sum()) + len(sizes))
+                found = list(_exact(ph, block) if slack is None else _near(ph, block, slack, _document_starts(sizes)))
+                k = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
+                starts = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
+                used, codes = np.unique(ph.owner[k], return_inverse=True)
+                flat = (starts, ph.length[k] + (slack or 0), codes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n).slice(r, 1) for n in ("block", "ids", "n_words")]
-                    + [pa.array([b], pa.binary()) for b in (*flat, codes.astype("<i4").tobytes())]
+                    + [pa.array([b.astype("<i4").tobytes()], pa.binary()) for b in flat]
                     + [pa.array([[ph.names[i] for i in used]], pa.list_(pa.string()))],
                     schema.fieldNames(),
                 )
 
-    return index.mapInArrow(run, schema)
+    out = materialise(index.mapInArrow(run, schema), "index-matches")
+    held.destroy()
+    return out
 
 
 def _document_starts(n_words: np.ndarray) -> np.ndarray:
@@ -260,18 +314,27 @@ def _decode(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.frombuffer(x[n], "<i4").astype(np.int64) for n in ("starts", "lengths", "items"))
 
 
-def _turns(index: DataFrame, items: DataFrame, id_col: str, text_col: str, length: int, postings: dict[str, int]) -> Iterator[Phrases]:
-    """The test items, as many at a time as may be broadcast. Items without an id or words are none."""
+def _turns(index: DataFrame, counts: DataFrame, items: DataFrame, id_col: str, text_col: str, length: int) -> Iterator[Phrases]:
+    """The test items, as many at a time as may be broadcast, with the postings of their terms. The driver holds one
+    turn and the partition of items it comes from. Items without an id or words are none."""
+    spark = index.sparkSession
+
+    def compiled(held: list[tuple[str, str]]) -> Phrases:
+        names, vocabulary, found = item_words(held)
+        wanted = spark.createDataFrame([(t.decode(),) for t in vocabulary], "term string")  # of a bounded number of bytes
+        postings = {r["term"].encode(): r["postings"] for r in counts.join(F.broadcast(wanted), "term").collect()}
+        return compile_phrases(names, vocabulary, found, postings, length)
+
     rows = items.select(F.col(id_col).cast("string"), F.col(text_col)).dropna()
     held: list[tuple[str, str]] = []
     room = ITEM_BYTES_AT_ONCE
     for name, text in rows.toLocalIterator():
         if held and (len(held) >= ITEMS_AT_ONCE or len(text) > room):
-            yield compile_phrases(held, postings, length)
+            yield compiled(held)
             held, room = [], ITEM_BYTES_AT_ONCE
         held.append((name, text))
         room -= len(text)
-    yield compile_phrases(held, postings, length)
+    yield compiled(held)
 
 
 def test_terms(items: DataFrame, text_col: str = "text", most: int = RESTRICT_TERMS) -> set[bytes] | None:
@@ -288,13 +351,9 @@ def matched_blocks(
     require(items, item_id_col, item_text_col)
     terms = test_terms(items, item_text_col)
     index = materialise(build_index(docs, id_col, text_col, terms), "positional-index")
-    counts = document_frequency(index)
-    postings = dict((counts if terms is not None else counts.orderBy("postings", "term").limit(RESTRICT_TERMS)).collect())
-    parts = [_matches(index, p, slack) for p in _turns(index, items, item_id_col, item_text_col, length, postings)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out if len(parts) == 1 else _merged(out)
+    counts = materialise(document_frequency(index), "index-postings")
+    parts = [_matches(index, p, slack) for p in _turns(index, counts, items, item_id_col, item_text_col, length)]
+    return parts[0] if len(parts) == 1 else _merged(reduce(DataFrame.unionByName, parts))
 
 
 def _merged(parts: DataFrame) -> DataFrame:
