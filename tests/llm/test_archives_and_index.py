@@ -174,6 +174,35 @@ def test_exact_and_proximity_matches(spark):
     assert {r["id"] for r in near} == {1, 2}
 
 
+@pytest.mark.parametrize("turns", [1, 2])
+def test_proximity_against_brute_force(spark, monkeypatch, turns):
+    monkeypatch.setattr(contamination, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(contamination, "CHUNK", 16)
+    monkeypatch.setattr(contamination, "ITEMS_AT_ONCE", 100 if turns == 1 else 3)
+    rng = random.Random(21)
+    items = [(k, " ".join(words(rng, n, 12))) for k, n in enumerate([2, 3, 4, 5, 16])]
+    rows = [(i, " ".join(words(rng, rng.randrange(0, 60), 12))) for i in range(40)]
+    for i in (3, 9):
+        cut = items[4][1].split(" ")[1:14]
+        rng.shuffle(cut)
+        rows.append((100 + i, " ".join(words(rng, 9, 12) + cut[:6] + ["aside"] + cut[6:])))
+    want = set()
+    for i, text in rows:
+        w = slow_words(text)
+        for name, item in items:
+            for x in contamination_windows(item):
+                for a in range(len(w)):
+                    if w[a] in x and set(x) <= set(w[a : a + len(x) + 2]):
+                        want.add((i, str(name), a, min(len(x) + 2, len(w) - a)))
+    got = contamination.matches(frame(spark, rows).coalesce(2), spark.createDataFrame(items, "item_id long, text string"), slack=2).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 40
+
+
+def contamination_windows(item, size=13):
+    x = slow_words(item)
+    return [x[k : k + size] for k in range(max(1, len(x) - size + 1))]
+
+
 def test_document_frequency(spark):
     docs = frame(spark, [(1, "a b a"), (2, "B c"), (3, None)])
     index = contamination.build_index(docs)
