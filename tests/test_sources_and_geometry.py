@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
@@ -89,6 +90,21 @@ def test_csv_round_trip(spark, tmp_path):
     assert P.read_points_csv(spark, str(empty)).count() == 0
 
 
+def test_row_ids_of_many_rows_and_files(spark, tmp_path):
+    rows = spark.range(100_000, numPartitions=8).withColumn("x", F.xxhash64("id")).drop("id").repartitionByRange(7, "x")
+    got = P.with_row_ids(rows.sortWithinPartitions("x")).agg(F.countDistinct("id"), F.min("id"), F.max("id"), F.count("*")).first()
+    assert tuple(got) == (100_000, 0, 99_999, 100_000)
+    wrong = P.with_row_ids(rows.sortWithinPartitions("x")).withColumn("r", F.row_number().over(W.orderBy("x")) - 1).where("r <> id")
+    assert wrong.count() == 0
+    n = 0
+    for k, size in enumerate([5, 4000, 1, 300, 0, 2000]):  # Spark would read the largest first
+        lines = [f"{n + i},{k}" for i in range(size)]
+        (tmp_path / f"part-{k}.csv").write_text("\n".join(["Dim_0,Dim_1", *lines]) + "\n")
+        n += size
+    got = P.read_points_csv(spark, str(tmp_path))
+    assert got.where("id <> Dim_0").count() == 0 and got.count() == n
+
+
 def test_text_forms(spark):
     df = spark.createDataFrame([(7, 1.5, -2.0)], "id long, a double, b double")
     text = df.select(P.point_text("id", ["a", "b"]).alias("t"))

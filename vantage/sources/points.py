@@ -7,9 +7,11 @@ import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dominance import dimension_columns
+from ..storage import Table
 
 log = logging.getLogger("vantage")
 
@@ -17,29 +19,35 @@ log = logging.getLogger("vantage")
 def read_points_csv(spark: SparkSession, path: str, dims: Sequence[str] | None = None, id_col: str | None = "id", strict: bool = False) -> DataFrame:
     """(id, dimensions as doubles). Without dims, the columns Dim_*, or all columns if there are none.
 
-    The header is dropped from every file. The id is the row's place in the input, from 0 and without gaps;
-    id_col None leaves it out. A field that isn't a number is null, or with strict an error."""
+    The header is dropped from every file. The id is the row's place in the input, files in the order of their names,
+    from 0 and without gaps; id_col None leaves it out. A field that isn't a number is null, or with strict an error."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     names = list(dims) if dims else ([c for c in raw.columns if c.startswith("Dim_")] or raw.columns)
     cast = [F.col(f"`{c}`").cast("double") if strict else F.col(f"`{c}`").try_cast("double") for c in dimension_columns(raw, names)]
     if strict:
         cast = [F.when(F.col(f"`{n}`").isNotNull(), c).otherwise(F.raise_error(F.lit(f"no number in {n}"))) for n, c in zip(names, cast, strict=True)]
-    rows = raw.select(*(c.alias(n) for n, c in zip(names, cast, strict=True)))
-    return with_row_ids(rows, id_col) if id_col else rows
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")] if id_col else []
+    rows = raw.select(*(c.alias(n) for n, c in zip(names, cast, strict=True)), *place)
+    return _numbered(rows, id_col, ["__file", "__start"]) if id_col else rows
 
 
 def with_row_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """df with ids 0, 1, 2, ... in the order of its partitions, without bringing rows together: the counts of
-    the partitions (a row each) give every partition's first id."""
-    mono = df.withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    sizes = sorted(mono.groupBy(part.alias("p")).count().collect())
-    first, total = {}, 0
-    for p, n in sizes:
-        first[p], total = total, total + n
-    starts = df.sparkSession.createDataFrame(list(first.items()), "__p long, __first long")
-    joined = mono.withColumn("__p", part).join(F.broadcast(starts), "__p")
-    return joined.select((F.col("__first") + F.col("__m").bitwiseAND((1 << 33) - 1)).alias(id_col), *df.columns)
+    """df with ids 0, 1, 2, ... in the order of its partitions, without bringing rows together. df is evaluated once,
+    and written to the shared folder: another evaluation may put its rows elsewhere."""
+    return _numbered(df, id_col, [])
+
+
+def _numbered(df: DataFrame, id_col: str, pieces: list[str]) -> DataFrame:
+    """df without the columns in pieces, with ids in the order of these columns, or of its partitions. Rows of a piece lie
+    next to each other in one partition; the counts of the pieces (a row each) give every piece's first id."""
+    names = [c for c in df.columns if c not in pieces]
+    table = Table(df.withColumn("__m", F.monotonically_increasing_id()), "numbered").df
+    if not pieces:
+        table, pieces = table.withColumn("__part", F.shiftright("__m", 33)), ["__part"]
+    sizes = table.groupBy(*pieces).agg(F.count("*").alias("__n"), F.min("__m").alias("__low"))
+    before = F.sum("__n").over(W.orderBy(*pieces).rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.withColumn("__first", F.coalesce(before, F.lit(0))).drop("__n")
+    return table.join(starts, pieces).select((F.col("__first") + F.col("__m") - F.col("__low")).alias(id_col), *(F.col(f"`{c}`") for c in names))
 
 
 def write_points_csv(points: DataFrame, path: str, dims: Sequence[str] | None = None) -> None:
