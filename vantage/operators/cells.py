@@ -19,8 +19,13 @@ from pyspark.sql import functions as F
 MOST_CELLS = 32_768
 
 
+def grid_dimensions(dims: int, most_cells: int = MOST_CELLS) -> int:
+    """How many of the dimensions a grid is laid over: as many as can be halved within its cells."""
+    return min(dims, most_cells.bit_length() - 1)
+
+
 def buckets_per_dimension(dims: int, most_cells: int = MOST_CELLS) -> int:
-    return max(2, min(128, int(most_cells ** (1 / dims) + 1e-9)))
+    return max(2, min(128, int(most_cells ** (1 / grid_dimensions(dims, most_cells)) + 1e-9)))
 
 
 def quantile_edges(points: DataFrame, xs: Sequence[str], buckets: int | None = None) -> list[list[float]]:
@@ -55,14 +60,20 @@ def cell_summary(points: DataFrame, xs: Sequence[str], edges: Sequence[Sequence[
 
 @dataclass
 class Grid:
-    """Counts of all cells of a grid, with bounds of the score of a point in each."""
+    """Counts of all cells of a grid, with bounds of the score of a point in each.
+
+    The grid lies over the first dimensions if there are too many for all (complete is False then): points outside
+    its cells that are at least equal still aren't dominated, but nothing is known to be dominated."""
 
     edges: list[list[float]]
-    counts: np.ndarray  #: one dimension for each of the points'
+    counts: np.ndarray  #: one dimension for each that the grid lies over
+    complete: bool = True
 
     @property
     def lower(self) -> np.ndarray:
         """Points in cells greater in every dimension: all of them are dominated."""
+        if not self.complete:
+            return np.zeros_like(self.counts)
         out = self._suffix()
         for k in range(out.ndim):
             out = np.concatenate([np.take(out, range(1, out.shape[k]), axis=k), np.zeros_like(np.take(out, [0], axis=k))], axis=k)
@@ -106,8 +117,13 @@ def histogram(points: DataFrame, xs: Sequence[str], edges: list[list[float]]) ->
 
 
 def build_grid(points: DataFrame, xs: Sequence[str], buckets: int | None = None) -> Grid:
-    edges = quantile_edges(points, xs, buckets)
-    return Grid(edges, histogram(points, xs, edges))
+    over = list(xs)[: grid_dimensions(len(xs))]
+    edges = quantile_edges(points, over, buckets)
+    return Grid(edges, histogram(points, over, edges), len(over) == len(xs))
+
+
+def _ends(rows: DataFrame, xs: Sequence[str], low: str = "{}", high: str = "{}", n: Column | None = None) -> tuple:
+    return tuple(rows.agg(F.count("*") if n is None else n, *(F.min(low.format(x)) for x in xs), *(F.max(high.format(x)) for x in xs)).first())
 
 
 class CellIndex:
@@ -132,13 +148,21 @@ class CellIndex:
         return self.spark.read.parquet(f"{self.path}/cells"), meta["dims"], meta["edges"]
 
     def load_or_build(self, points: DataFrame, xs: Sequence[str], reset: bool = False) -> DataFrame:
-        """The stored summary; built anew with reset, or if there is none or it is of other dimensions."""
+        """The stored summary; built anew with reset, or if there is none, or if it is of other dimensions or of other
+        points, as their number and the ends of their coordinates tell."""
         if not reset and self.exists():
             cells, dims, _ = self.load()
-            if dims == list(xs):
+            if dims == list(xs) and _ends(points, xs) == _ends(cells, xs, "low_{}", "high_{}", F.sum("n")):
                 return cells
         return self.save(points, xs)
 
+    def within(self, low: Sequence[float], high: Sequence[float]) -> DataFrame:
+        """The stored cells whose boxes touch the box from low to high; the filter reaches the Parquet scan."""
+        cells, dims, _ = self.load()
+        for x, a, b in zip(dims, low, high, strict=True):
+            cells = cells.where((F.col(f"low_{x}") <= float(b)) & (F.col(f"high_{x}") >= float(a)))
+        return cells
+
     def delete(self) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

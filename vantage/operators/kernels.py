@@ -62,6 +62,40 @@ def local_skyline(x: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
     return np.sort(np.concatenate(kept)) if kept else np.empty(0, np.int64)
 
 
+def count_in_slab(c: np.ndarray, x: np.ndarray, cb: np.ndarray | None, xb: np.ndarray | None, first: int) -> np.ndarray:
+    """For each row of c, the number of rows of x that it dominates, all of them in one bucket of dimension `first`;
+    rows that share a bucket of an earlier dimension too aren't counted. cb, xb: the buckets, if first isn't 0."""
+    out = np.zeros(len(c), np.int64)
+    d = c.shape[1]
+    by = np.argsort(-x[:, first], kind="stable")  # a candidate looks at the points that aren't smaller there
+    x, xb = x[by], xb[by] if xb is not None else None
+    reach = len(x) - np.searchsorted(np.sort(x[:, first]), c[:, first])
+    order_ = np.argsort(reach, kind="stable")
+    at = 0
+    while at < len(order_):
+        size = 16
+        while at + 2 * size < len(order_) and 2 * size * reach[order_[at + 2 * size]] <= PAIRS:
+            size *= 2
+        rows = order_[at : at + size]
+        seen = int(reach[rows[-1]])
+        at += len(rows)
+        for a in range(0, seen, PAIRS // 16):
+            part = slice(a, min(seen, a + PAIRS // 16))
+            weak = np.ones((len(rows), part.stop - part.start), bool)
+            for k in range(d):
+                if k < first:  # strictly greater buckets, so strictly greater values
+                    weak &= xb[part, k][None, :] > cb[rows, k][:, None]
+                else:
+                    weak &= x[part, k][None, :] >= c[rows, k][:, None]
+            if not first:
+                equal = np.ones_like(weak)
+                for k in range(d):
+                    equal &= x[part, k][None, :] == c[rows, k][:, None]
+                weak &= ~equal
+            out[rows] += weak.sum(axis=1)
+    return out
+
+
 def count_dominated(c: np.ndarray, x: np.ndarray, cb: np.ndarray | None = None, xb: np.ndarray | None = None) -> np.ndarray:
     """For each row of c, the number of rows of x that it dominates. With the buckets cb and xb of the
     coordinates, only of rows that share a bucket with it in some dimension."""

@@ -6,20 +6,26 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..storage import Table
 from . import kernels
 from .cells import Grid, build_grid
 from .points import as_points
 
-#: Most candidates that are broadcast, and counted for, at a time.
-BLOCK = 20_000
+#: Most candidates that are broadcast, and counted for, at a time; rows of either side that a task compares at once.
+BLOCK, CHUNK = 10_000, 20_000
+#: Fewer candidates than this are compared with all points; the summary that would spare it costs more.
+SMALL = 1_000
 
 
-def partial_counts(candidates: np.ndarray, points: DataFrame, xs: Sequence[str], grid: Grid | None) -> DataFrame:
+def partial_counts(candidates: np.ndarray, points: DataFrame, xs: Sequence[str], grid: Grid | None) -> tuple[DataFrame, Broadcast]:
     """(k, n): for candidate k, the dominated points of each task. With a grid, only of the points that share a
-    bucket with it in some dimension; the others follow from the grid's counts."""
+    bucket with it in some dimension; the others follow from the grid's counts. The broadcast is to be destroyed
+    when the counts have been read."""
     spark = points.sparkSession
     held = spark.sparkContext.broadcast((candidates, grid))
 
@@ -33,17 +39,19 @@ def partial_counts(candidates: np.ndarray, points: DataFrame, xs: Sequence[str],
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
 
-    return points.select(*xs).mapInArrow(run, "k long, n long")
+    return points.select(*xs).mapInArrow(run, "k long, n long"), held
 
 
 def exact_scores(candidates: np.ndarray, points: DataFrame, xs: Sequence[str], grid: Grid | None) -> np.ndarray:
     """Scores of at most BLOCK candidates against all points: counted where the points are, summed up by candidate."""
     out = np.zeros(len(candidates), np.int64)
+    grid = grid if grid is not None and grid.complete else None
     if grid is not None:
-        b = grid.buckets(candidates)
-        out += grid.lower[tuple(b.T.astype(np.int64))]
-    for r in partial_counts(candidates, points, xs, grid).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out += grid.lower[tuple(grid.buckets(candidates).T.astype(np.int64))]
+    counts, held = partial_counts(candidates, points, xs, grid)
+    for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect():
         out[r["k"]] += r["n"]
+    held.destroy()
     return out
 
 
@@ -59,30 +67,82 @@ def blocks(rows: DataFrame, size: int) -> Iterator[list]:
         yield held
 
 
+def _by_slabs(mine: DataFrame, points: DataFrame, xs: list[str], chunk: int) -> DataFrame:
+    """(__k, score) of every row of mine (__k, coordinates); no row passes through the driver.
+
+    A slab is a bucket of one dimension. Candidates meet the points of their slabs only, and a pair of rows that share
+    several slabs counts in that of the first dimension. Both sides of a slab are dealt into chunks by their numbers,
+    however many rows are equal, and every pair of chunks is a task of its own, of bounded memory. What shares no slab
+    with a candidate is dominated whole if its cell is greater in every dimension, as the grid's counts say. Over too
+    many dimensions for a grid there is one slab of all rows."""
+    grid = build_grid(points, xs)
+    spark, d = points.sparkSession, len(xs) if grid.complete else 1
+    sizes = [len(e) + 1 for e in grid.edges] if grid.complete else [1]
+    base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    shared = grid if grid.complete else Grid([[]], np.zeros(1, np.int64))
+    lower = shared.lower.ravel()
+
+    def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row once for each dimension, with the slab's number; the first row has what the cell is sure to dominate."""
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in xs])
+            b = shared.buckets(x).astype(np.int64) if grid.complete else np.zeros((len(x), 1), np.int64)
+            sure = lower[shared.cells(x)] if grid.complete else np.zeros(len(x), np.int64)
+            for k in range(d):
+                own = pa.array(sure if k == 0 else np.zeros(len(x), np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base[k] + b[:, k]), own], [*batch.schema.names, "slab", "sure"])
+
+    def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        schema = T.StructType([*rows.schema.fields, T.StructField("slab", T.LongType()), T.StructField("sure", T.LongType())])
+        found = Table(rows.mapInArrow(slabs, schema), "slabs").df
+        chunks = found.groupBy("slab").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))  # a row a slab
+        return found, Table(chunks, "slab-chunks").df
+
+    numbered = points.select(F.monotonically_increasing_id().alias("__k"), *xs)
+    (c, c_chunks), (p, p_chunks) = dealt(mine), dealt(numbered)
+    both = F.broadcast(c_chunks.withColumnRenamed("chunks", "__c").join(p_chunks.withColumnRenamed("chunks", "__p"), "slab"))  # 15 * 128 rows at most
+    mix = lambda own, n: F.pmod(F.xxhash64(F.lit(own), F.col("__k")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = c.join(both, "slab").select("__k", *xs, "slab", mix("c", "__c").alias("i"), every("__p").alias("j"))
+    right = p.join(both, "slab").select(*xs, "slab", every("__c").alias("i"), mix("p", "__p").alias("j"))
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"__k": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        x, y = (np.column_stack([t[name].to_numpy() for name in xs]) for t in (a, b))
+        first = int(np.searchsorted(base, a["slab"][0].as_py(), "right")) - 1 if grid.complete else 0
+        n = kernels.count_in_slab(x, y, shared.buckets(x) if first else None, shared.buckets(y) if first else None, first)
+        at = np.flatnonzero(n)
+        return pa.table({"__k": a["__k"].combine_chunks().take(pa.array(at)), "n": pa.array(n[at])})
+
+    keys = ("slab", "i", "j")
+    counted = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(count, "__k long, n long")
+    return counted.union(c.select("__k", "sure")).groupBy("__k").agg(F.sum("n").alias("score"))
+
+
 def dominance_score(
     df: DataFrame, dims: Sequence[str] | None = None, id_col: str = "id", candidates: DataFrame | None = None, direction: Mapping[str, str] | None = None
 ) -> DataFrame:
     """(id, score) of every candidate (default: every row of df); the score counts the rows of df it dominates.
 
-    Candidates are scored in blocks of BLOCK, each against all of df in one pass; a point that dominates
-    nothing has score 0. Rows with a null or NaN in a dimension are dropped. With as many candidates as
-    points the work is quadratic at worst; the grid's counts spare most of it.
+    Up to BLOCK candidates are broadcast and counted for in one pass over df. More stay where they are and meet the
+    points that share a slab of the grid with them, in chunks of bounded size. A point that dominates nothing has score
+    0. Rows with a null or NaN in a dimension are dropped. With as many candidates as points the work is quadratic at
+    worst; the grid's counts spare most of it.
     """
     points, xs = as_points(df, dims, direction)
     mine, _ = as_points(df if candidates is None else candidates, dims, direction, id=id_col)
     spark, kind = df.sparkSession, mine.schema["id"]
-    grid = build_grid(points, xs)
-    out = None
-    for rows in blocks(mine, BLOCK):
-        scores = exact_scores(np.array([[r[x] for x in xs] for r in rows], float), points, xs, grid)
-        part = spark.createDataFrame([(r["id"], int(s)) for r, s in zip(rows, scores, strict=True)], _schema(kind, id_col))
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], _schema(kind, id_col))
+    few = mine.limit(BLOCK + 1).collect()  # bounded
+    if len(few) <= BLOCK:
+        scores = exact_scores(np.array([[r[x] for x in xs] for r in few], float).reshape(-1, len(xs)), points, xs, None if len(few) < SMALL else build_grid(points, xs)) if few else []
+        return spark.createDataFrame([(r["id"], int(s)) for r, s in zip(few, scores, strict=True)], _schema(kind, id_col))
+    rows = Table(mine.select(F.monotonically_increasing_id().alias("__k"), "id", *xs), "candidates").df
+    scored = _by_slabs(rows.select("__k", *xs), points, xs, CHUNK)
+    return rows.select("__k", "id").join(scored, "__k").select(F.col("id").alias(id_col), F.col("score").cast("long").alias("score"))
 
 
 def _schema(kind, id_col: str):
-    from pyspark.sql import types as T
-
     return T.StructType([T.StructField(id_col, kind.dataType), T.StructField("score", T.LongType())])
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce as reduce_
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dominance import dimension_columns, dominates, oriented, usable
+from ..storage import Table
 from . import kernels
 
 STRATEGIES = ("auto", "anti", "two_phase", "window2d")
@@ -18,6 +22,10 @@ STRATEGIES = ("auto", "anti", "two_phase", "window2d")
 PIVOTS, BROADCAST_ROWS = 512, 200_000
 #: Survivors per task of the first phase that make another local round worthwhile.
 MERGE_ROWS = 50_000
+#: Estimated bytes of the input beyond which pivots pay: among many tasks, some have no strong points of their own.
+PIVOT_BYTES = 1 << 30
+#: Survivors of one group that a task compares another group's rows with, when groups are joined.
+GROUP_ROWS = 20_000
 _X = "__x{}".format
 
 
@@ -77,38 +85,42 @@ def _pivots(rows: DataFrame, xs: list[str]) -> np.ndarray:
     return found[kernels.order(found)]
 
 
-def _against(rows: DataFrame, others: DataFrame, xs: list[str], by: Sequence[str]) -> DataFrame:
-    """rows that no row of others (xs, by) dominates, by an anti join."""
-    o = others.select(*(F.col(c).alias(f"__o{c}") for c in (*xs, *by)))
-    condition = dominates([F.col(f"__o{x}") for x in xs], [F.col(x) for x in xs])
-    for c in by:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"__o{c}"))
-    return rows.join(o if by else F.broadcast(o), condition, "left_anti")
+def _against(rows: DataFrame, others: DataFrame, xs: list[str]) -> DataFrame:
+    """rows that no row of others, a checked number of rows, dominates, by an anti join."""
+    o = others.select(*(F.col(x).alias(f"__o{x}") for x in xs))
+    return rows.join(F.broadcast(o), dominates([F.col(f"__o{x}") for x in xs], [F.col(x) for x in xs]), "left_anti")
+
+
+def _holding(out: DataFrame, *kept: DataFrame) -> DataFrame:
+    """out, whose persisted inputs are dropped when the caller drops it."""
+    for df in kept:
+        weakref.finalize(out, df.unpersist).atexit = False
+    return out
 
 
 def _two_phase(rows: DataFrame, xs: list[str]) -> DataFrame:
-    pivots = _pivots(rows, xs)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    pivots = _pivots(rows, xs) if size > PIVOT_BYTES else None
     local = _local(rows, xs, pivots).persist()  # the survivors only
     try:
         n, parts = local.count(), max(1, local.rdd.getNumPartitions())
-        while parts > 1 and n / parts < MERGE_ROWS:  # few survivors: merge whole tasks until one is left
-            parts = max(1, min(parts // 8, int(n / MERGE_ROWS) + 1))
-            merged = _local(local.coalesce(parts), xs, None).persist()
+        while parts > 1 and n > MERGE_ROWS and n / parts < MERGE_ROWS:  # merge some tasks as long as that leaves fewer
+            fewer = max(1, min(parts // 8, int(n / MERGE_ROWS) + 1))
+            merged = _local(local.coalesce(fewer), xs, None).persist()
             m = merged.count()
             local.unpersist()
-            local, shrunk, n = merged, m < 0.8 * n, m
-            if not shrunk and parts > 1:
+            local, parts, shrunk, n = merged, fewer, m < 0.8 * n, m
+            if not shrunk:
                 break
-        if parts == 1:
-            return local
-        if n <= BROADCAST_ROWS:
-            return _against(local, local, xs, ())
-        blocks = -(-n // BROADCAST_ROWS)  # a checked number of rows at a time
+        if n <= MERGE_ROWS:
+            return _holding(_local(local.coalesce(1), xs, None) if parts > 1 else local.select("*"), local)
+        distinct = Table(local.select(*xs).distinct(), "skyline-survivors").df  # equal points once
+        n = distinct.count()
+        out, blocks = local, -(-n // BROADCAST_ROWS)  # a checked number of rows at a time
         number = F.pmod(F.xxhash64(*xs), F.lit(blocks))
-        out = local
         for b in range(blocks):
-            out = _against(out, local.where(number == b), xs, ())
-        return out
+            out = _against(out, distinct.where(number == b) if blocks > 1 else distinct, xs)
+        return _holding(out, local)
     except Exception:
         local.unpersist()
         raise
@@ -160,27 +172,73 @@ def skyline(
     if by:
         found = _by_group(rows, xs, list(by))
     elif strategy == "anti" and rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        found = _against(rows, rows, xs, ())
+        found = _against(rows, rows, xs)
     elif strategy == "window2d":
         found = _window2d(rows, xs)
     else:
         found = _two_phase(rows, xs)
-    return found.drop(*xs)
+    out = found.drop(*xs)
+    return _holding(out, *([found] if strategy in ("auto", "two_phase") and not by else []))
 
 
-def _by_group(rows: DataFrame, xs: list[str], by: list[str]) -> DataFrame:
-    """A local skyline per group in every task, before any shuffle, then an anti join of what is left."""
+def _grouped_local(rows: DataFrame, xs: list[str], by: list[str]) -> DataFrame:
+    """rows less those dominated by another row of their group in their task. A task holds the survivors so far of its
+    groups, and rows that wait to be compared with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.select(by).to_pandas()
-            codes = keys.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in xs])
+        held: pa.Table | None = None
+        waiting: list[pa.RecordBatch] = []
+
+        def reduce() -> pa.Table | None:
+            if not waiting:
+                return held
+            table = pa.Table.from_batches(waiting)
+            table = pa.concat_tables([held, table]) if held is not None else table
+            codes = table.select(by).to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+            x = np.column_stack([table[c].to_numpy() for c in xs])
             at = np.argsort(codes, kind="stable")
             groups = np.split(at, np.flatnonzero(np.diff(codes[at])) + 1)
-            yield batch.take(pa.array(np.sort(np.concatenate([g[kernels.local_skyline(x[g])] for g in groups]))))
+            return table.take(pa.array(np.sort(np.concatenate([g[kernels.local_skyline(x[g])] for g in groups]))))
+
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch.num_rows
+            if size >= max(100_000, held.num_rows if held is not None else 0):
+                held, waiting, size = reduce(), [], 0
+        held = reduce()
+        if held is not None:
+            yield from held.to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
 
-    local = rows.mapInArrow(run, rows.schema)
-    return _against(local, local, xs, by)
+def _by_group(rows: DataFrame, xs: list[str], by: list[str]) -> DataFrame:
+    """A local skyline per group in every task, before any shuffle and again after groups have been dealt out in parts;
+    what is left meets the distinct survivors of its group in an anti join. Both are split for groups with many
+    survivors, so that one group keeps many tasks busy."""
+    local = Table(_grouped_local(rows, xs, by), "group-survivors")
+    n, before = local.df.count(), None
+    while before is None or n < 0.8 * before:  # another deal, in parts of a few times what a task compares at once
+        salts = max(1, -(-n // (4 * GROUP_ROWS)))
+        salt = F.pmod(F.xxhash64(*xs), F.lit(salts))
+        dealt = local.df.withColumn("__salt", salt).repartition(*by, "__salt").drop("__salt")
+        after = Table(_grouped_local(dealt, xs, by), "group-survivors")
+        local.drop()
+        local, before, n = after, n, after.df.count()
+        if salts == 1:
+            return local.df
+    survivors = Table(local.df.select(*by, *xs).distinct(), "group-distinct")
+    sizes = survivors.df.groupBy(*by).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("__parts"))
+    mine = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
+    parts = Table(sizes.select(*mine, "__parts"), "group-parts").df
+    same = reduce_(and_, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)])
+    keys = [f"__g{i}" for i in range(len(by))]
+    left = local.df.join(parts, same).withColumn("__part", F.pmod(F.xxhash64(*xs, F.monotonically_increasing_id()), F.col("__parts")).cast("int"))
+    right = survivors.df.join(parts, same).withColumn("__opart", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    o = right.select(*(F.col(k).alias(f"__o{k}") for k in keys), *(F.col(x).alias(f"__o{x}") for x in xs), "__opart")
+    condition = dominates([F.col(f"__o{x}") for x in xs], [F.col(x) for x in xs]) & (F.col("__part") == F.col("__opart"))
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__o{k}"))
+    return left.join(o, condition, "left_anti").drop(*keys, "__parts", "__part")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .cells import Grid, build_grid, histogram
 from .points import as_points
-from .score import BLOCK, _schema, blocks, exact_scores
+from .score import BLOCK, SMALL, _schema, blocks, exact_scores
 from .skyline import skyline
 
 
@@ -38,17 +38,27 @@ def _best(candidates: DataFrame, points: DataFrame, xs: list[str], k: int, grid:
 
     left = candidates.select("id", *xs).mapInArrow(keep, kinds).persist()
     best: list[tuple] = []
-    # the most promising first: once a block's bounds are below the k-th score, no other can matter
-    for rows in blocks(left.orderBy(F.desc("reach")) if left.limit(BLOCK + 1).count() > BLOCK else left, BLOCK):
-        if len(best) == k and max(r["reach"] for r in rows) < best[-1][1]:
-            break
-        scores = exact_scores(np.array([[r[x] for x in xs] for r in rows], float), points, xs, grid)
-        best += [(r["id"], int(s)) for r, s in zip(rows, scores, strict=True)]
-        best = sorted(best, key=lambda b: (-b[1], b[0] is not None, b[0] if b[0] is not None else 0))[:k]
-    left.unpersist()
+    try:
+        few = left.count() <= BLOCK
+        # the most promising first: once a block's bounds are below the k-th score, no other can matter
+        for rows in [left.collect()] if few else blocks(left.orderBy(F.desc("reach")), BLOCK):
+            if not rows or len(best) == k and max(r["reach"] for r in rows) < best[-1][1]:
+                break
+            best = _ranked(best + _scored(rows, points, xs, grid))[:k]
+    finally:
+        left.unpersist()
     return best
 
 
+def _scored(rows: list, points: DataFrame, xs: list[str], grid: Grid | None) -> list[tuple]:
+    scores = exact_scores(np.array([[r[x] for x in xs] for r in rows], float), points, xs, grid)
+    return [(r["id"], int(s)) for r, s in zip(rows, scores, strict=True)]
+
+
+def _ranked(scored: list[tuple]) -> list[tuple]:
+    return sorted(scored, key=lambda b: (-b[1], b[0] is not None, b[0] if b[0] is not None else 0))
+
+
 def topk_dominating(df: DataFrame, k: int, dims: Sequence[str] | None = None, id_col: str = "id", direction: Mapping[str, str] | None = None) -> DataFrame:
     """(id, score) of the k rows with the highest dominance scores, fewer if df has fewer.
 
@@ -66,8 +76,15 @@ def topk_skyline(df: DataFrame, k: int, dims: Sequence[str] | None = None, id_co
     points, xs = as_points(df, dims, direction, id=id_col)
     sky = skyline(points, xs).persist()
     try:
-        grid = build_grid(points, xs)
-        best = _best(sky, points, xs, k, grid, histogram(sky, xs, grid.edges)) if k > 0 else []
+        if k <= 0:
+            best = []
+        elif sky.count() < SMALL:
+            rows = sky.collect()
+            best = _ranked(_scored(rows, points, xs, None))[:k] if rows else []
+        else:
+            grid = build_grid(points, xs)
+            over = xs[: grid.counts.ndim]
+            best = _best(sky, points, xs, k, grid, histogram(sky, over, grid.edges))
     finally:
         sky.unpersist()
     return df.sparkSession.createDataFrame(best, _schema(points.schema["id"], id_col))
