@@ -36,6 +36,16 @@ def partly_dominates(p: Sequence[Column], low: Sequence[Column], high: Sequence[
     return ~dominates(p, low) & dominates(p, high)
 
 
+def box_dominates_point(low: Sequence[Column], p: Sequence[Column]) -> Column:
+    """Some point of a box may dominate p: its lower corner would."""
+    return dominates(low, p)
+
+
+def box_dominates_box(low: Sequence[Column], other_low: Sequence[Column]) -> Column:
+    """Some point of a box may dominate all of another: its lower corner would dominate the other's."""
+    return dominates(low, other_low)
+
+
 def dimension_columns(df: DataFrame, dims: Sequence[str] | None = None, prefix: str = "Dim_") -> list[str]:
     """dims, checked, or else the columns with the prefix in the order of their numbers."""
     found = list(dims) if dims else sorted((c for c in df.columns if c.startswith(prefix)), key=lambda c: (len(c), c))

@@ -122,6 +122,22 @@ def build_grid(points: DataFrame, xs: Sequence[str], buckets: int | None = None)
     return Grid(edges, histogram(points, over, edges), len(over) == len(xs))
 
 
+def check_summary(cells: DataFrame, points: DataFrame, xs: Sequence[str], edges: Sequence[Sequence[float]], id_col: str | None = None) -> list[str]:
+    """What is wrong with a summary of points: cells whose count or box isn't that of their points, cells that are
+    missing or empty, repeated ids. An empty list says that all is well."""
+    own = cell_summary(points, xs, edges)
+    names = [c for c in own.columns if c != "cell"]
+    mine = own.select("cell", F.struct(*names).alias("__own"))
+    theirs = cells.select("cell", F.struct(*names).alias("__stored"))
+    both = mine.join(theirs, "cell", "full")
+    wrong = both.where(~F.col("__own").eqNullSafe(F.col("__stored")))
+    found = [f"cell {r['cell']}: {r['__stored']} is stored, {r['__own']} is right" for r in wrong.orderBy("cell").limit(10).collect()]
+    if id_col:
+        twice = points.groupBy(id_col).count().where("count > 1").orderBy(id_col).limit(10).collect()
+        found += [f"id {r[0]} stands {r[1]} times" for r in twice]
+    return found
+
+
 def _ends(rows: DataFrame, xs: Sequence[str], low: str = "{}", high: str = "{}", n: Column | None = None) -> tuple:
     return tuple(rows.agg(F.count("*") if n is None else n, *(F.min(low.format(x)) for x in xs), *(F.max(high.format(x)) for x in xs)).first())
 

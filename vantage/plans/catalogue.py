@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.dominance import box_dominates_box as box_dominates_other
+from ..functions.dominance import box_dominates_point as box_dominates
 from ..functions.dominance import dominates, dominates_array, partly_dominates
 from ..operators import cells, score, skyline, topk
 from ..sources import generators
 from ..sources import points as P
+from ..storage import new_path
 from . import run as runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +180,13 @@ def skyline_by_segment(spark, sf):
     return skyline.skyline(rows, ("c_acctbal", "c_nationkey"), by=["c_mktsegment"])
 
 
+@_query(_not_dominated_by_strong(LINE, "l_quantity / 50 + l_extendedprice / 1e5 + l_discount * 10 + l_tax * 12"))
+def skyline_lineitem_one_group(spark, sf):
+    """All rows in one group: the hottest that there can be."""
+    rows = _read(spark, sf, "lineitem", *LINE).withColumn("g", F.lit("all"))
+    return skyline.skyline(rows, LINE, by=["g"]).drop("g")
+
+
 @_query(_not_dominated("vec_id, e0, e1, e2", _vectors_sql(3), ("e0", "e1", "e2")))
 def skyline_negative_embeddings(spark, sf):
     return skyline.skyline(_vectors(spark, sf, 3), ("e0", "e1", "e2"))
@@ -210,6 +222,11 @@ def dominance_score_skyline_part(spark, sf):
     return score.dominance_score(rows, PART, "p_partkey", skyline.skyline(rows, PART)).withColumnRenamed("p_partkey", "id")
 
 
+@_query(_scores(ORDERS_SQL, "o_orderkey", ("o_totalprice", "day")))
+def dominance_score_orders(spark, sf):
+    return score.dominance_score(_orders(spark, sf), ("o_totalprice", "day"), "o_orderkey").withColumnRenamed("o_orderkey", "id")
+
+
 @_query(f"SELECT p.p_partkey AS id, count(q.p_partkey)::BIGINT AS score FROM part p LEFT JOIN part q ON {_dom('q', 'p', PART)} GROUP BY p.p_partkey")
 def dominated_by_count_part(spark, sf):
     return score.dominated_by_count(_part(spark, sf), PART, "p_partkey").withColumnRenamed("p_partkey", "id")
@@ -242,6 +259,14 @@ def topk_dominating_embeddings(spark, sf):
     return topk.topk_dominating(_vectors(spark, sf, 4), 10, ("e0", "e1", "e2", "e3"), "vec_id").withColumnRenamed("vec_id", "id")
 
 
+_WIDE = tuple(f"e{i}" for i in range(64))
+
+
+@_query(_top(_scores(_vectors_sql(64), "vec_id", _WIDE)))
+def topk_dominating_embeddings_64d(spark, sf):
+    return topk.topk_dominating(_vectors(spark, sf, 64), 10, _WIDE, "vec_id").withColumnRenamed("vec_id", "id")
+
+
 @_query(_top(_scores("part", "p_partkey", PART, "(" + _not_dominated("*", "part", PART) + ")")))
 def topk_skyline_part(spark, sf):
     return topk.topk_skyline(_part(spark, sf), 10, PART, "p_partkey").withColumnRenamed("p_partkey", "id")
@@ -353,20 +378,96 @@ def dominance_of_arrays(spark, sf):
     return rows.select("vec_id", dominates_array(F.array(*_V), F.array(*[F.lit(0.0)] * 4)).alias("better"))
 
 
-@_query("SELECT p_partkey, concat_ws(',', p_partkey, p_size) AS text FROM part")
+@_query("SELECT p_partkey, concat_ws(',', p_partkey, p_size::DOUBLE, p_retailprice) AS text, p_partkey AS back_id, p_retailprice AS back_price FROM part")
 def point_text_part(spark, sf):
-    return _part(spark, sf).select("p_partkey", F.concat_ws(",", "p_partkey", "p_size").alias("text"))
+    written = _part(spark, sf).select("p_partkey", P.point_text("p_partkey", PART).alias("text"))
+    back = P.parse_point_text(F.col("text"), 2)
+    return written.select("p_partkey", "text", back["id"].alias("back_id"), back["x"][1].alias("back_price"))
+
+
+@_query(f"SELECT p_brand, concat_ws(',', p_brand, n, low0, low1, high0, high1) AS text, n::BIGINT AS back_n, high1 AS back_high1 FROM {BOXES_SQL} b")
+def box_text_by_brand(spark, sf):
+    written = _boxes(spark, sf).select("p_brand", P.box_text("p_brand", "n", ["low0", "low1"], ["high0", "high1"]).alias("text"))
+    back = P.parse_box_text(F.col("text"), 2)
+    return written.select("p_brand", "text", back["n"].alias("back_n"), back["high"][1].alias("back_high1"))
+
+
+@_query("""SELECT s_nationkey, concat_ws('|', s_nationkey, 1, count(*), string_agg(concat_ws(',', s_suppkey, s_acctbal), '|' ORDER BY s_suppkey)) AS text,
+count(*)::BIGINT AS back_n, sum(s_suppkey)::BIGINT AS back_ids FROM supplier GROUP BY s_nationkey""")
+def node_text_by_nation(spark, sf):
+    entry = P.point_text("s_suppkey", ["s_acctbal"])
+    rows = _read(spark, sf, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").select("s_nationkey", F.struct("s_suppkey", entry.alias("e")).alias("e"))
+    nodes = rows.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("e")).alias("es")).withColumn("leaf", F.lit(True))
+    written = nodes.select("s_nationkey", P.node_text("s_nationkey", "leaf", "n", F.concat_ws("|", F.col("es.e"))).alias("text"))
+    back = P.parse_node_text(F.col("text"), 1)
+    return written.select("s_nationkey", "text", back["n"].alias("back_n"), F.aggregate(back["points"], F.lit(0).cast("long"), lambda s, p: s + p["id"]).alias("back_ids"))
+
+
+@_query(f"""SELECT s.s_suppkey AS id, b.p_brand, b.low0 <= s.s_nationkey AND b.low1 <= s.s_acctbal AND (b.low0 < s.s_nationkey OR b.low1 < s.s_acctbal) AS may
+FROM supplier s, {BOXES_SQL} b""")
+def box_dominates_point(spark, sf):
+    rows = _read(spark, sf, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").join(F.broadcast(_boxes(spark, sf)), F.lit(True))  # a row a brand
+    return rows.select(F.col("s_suppkey").alias("id"), "p_brand", box_dominates(_box()[0], [F.col("s_nationkey").cast("double"), F.col("s_acctbal")]).alias("may"))
+
+
+@_query(f"SELECT a.p_brand AS a, b.p_brand AS b, a.low0 <= b.low0 AND a.low1 <= b.low1 AND (a.low0 < b.low0 OR a.low1 < b.low1) AS may FROM {PAIRS_SQL}")
+def box_dominates_box(spark, sf):
+    return _box_pairs(spark, sf).select(F.col("a_p_brand").alias("a"), F.col("b_p_brand").alias("b"), box_dominates_other(_box("a_")[0], _box("b_")[0]).alias("may"))
+
+
+@_query(f"SELECT p.p_partkey AS id FROM part p WHERE (SELECT count(*) FROM part q WHERE {_dom('q', 'p', PART)}) = 0")
+def skyline_by_counts_part(spark, sf):
+    """The skyline as the points that no point is counted to dominate."""
+    return score.dominated_by_count(_part(spark, sf), PART, "p_partkey").where("score = 0").select(F.col("p_partkey").alias("id"))
+
+
+@_query(f"""SELECT a.p_brand AS a, b.p_brand AS b, CASE WHEN m THEN greatest(a.low0, b.low0) END AS low0, CASE WHEN m THEN greatest(a.low1, b.low1) END AS low1,
+CASE WHEN m THEN least(a.high0, b.high0) END AS high0, CASE WHEN m THEN least(a.high1, b.high1) END AS high1
+FROM {PAIRS_SQL}, LATERAL (SELECT a.low0 <= b.high0 AND a.high0 >= b.low0 AND a.low1 <= b.high1 AND a.high1 >= b.low1 AS m) x""")
+def mbr_overlap_box(spark, sf):
+    both = G.overlap_box(_box("a_"), _box("b_"))
+    return _box_pairs(spark, sf).select(
+        F.col("a_p_brand").alias("a"), F.col("b_p_brand").alias("b"), *(both[e][i].alias(f"{e}{i}") for e in ("low", "high") for i in range(2))
+    )
+
+
+@_query("SELECT p_partkey, 1.7976931348623157e308 AS high, p_size::DOUBLE AS low0, p_retailprice AS low1, concat_ws(',', p_size::DOUBLE, p_retailprice) AS key FROM part")
+def dominance_area_part(spark, sf):
+    low, high = G.dominance_area([F.col(c).cast("double") for c in PART])
+    return _part(spark, sf).select("p_partkey", high[0].alias("high"), low[0].alias("low0"), low[1].alias("low1"), P.coordinate_key(PART).alias("key"))
 
 
-# generators: no SQL
+# generators: number, ranges, moments and correlations of the points, within what their number allows
 
 
-def _generated(kind: str, dims: int, rho: float = 0.5) -> Query:
-    return lambda spark, sf: generators.generate(spark, kind, 5000, dims, 42, rho=rho, partitions=4)
+def _moments(kind: str, dims: int, mean: float | None, std: float, low: float, corr: float, rho: float = 0.5) -> Query:
+    def query(spark, sf):
+        rows = generators.generate(spark, kind, 20_000, dims, 42, rho=rho, partitions=4)
+        names = [f"Dim_{i}" for i in range(dims)]
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+        near = lambda c, x, by: F.abs(c - F.lit(x)) < by
+        every = lambda cs: reduce(and_, cs)
+        means = [near(F.avg(c), mean, 0.04) for c in names] if mean is not None else [F.abs(F.avg(a) - F.avg(b)) < 0.04 for a, b in pairs]
+        return rows.agg(
+            F.count("*").alias("n"),
+            F.countDistinct("id").alias("ids"),
+            every(means).alias("means"),
+            every([near(F.stddev(c), std, 0.02) for c in names]).alias("deviations"),
+            every([F.min(c) >= low for c in names]).alias("ranges"),
+            every([near(F.corr(a, b), corr, 0.03) for a, b in pairs]).alias("correlations"),
+        )
 
+    return query
 
-for _kind, _rho in (("normal", 0.5), ("uniform", 0.5), ("correlated", 0.5), ("anticorrelated", 0.45)):
-    _queries[f"generate_{_kind}"] = _generated(_kind, 3, _rho)
+
+for _kind, _settings in {
+    "normal": (0.0, 1.0, -9.0, 0.0),
+    "uniform": (0.5, 12**-0.5, 0.0, 0.0),
+    "correlated": (None, 1.0, 0.0, 0.5),
+    "anticorrelated": (None, 1.0, 0.0, -0.45, 0.45),
+}.items():
+    _queries[f"generate_{_kind}"] = _moments(_kind, 3, *_settings)
+    _sql[f"generate_{_kind}"] = "SELECT 20000 AS n, 20000 AS ids, true AS means, true AS deviations, true AS ranges, true AS correlations"
 
 
 @_query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_partkey FROM part")
@@ -374,6 +475,28 @@ def row_ids_part(spark, sf):
     return P.with_row_ids(_read(spark, sf, "part", "p_partkey").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey"))
 
 
+@_query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_size::DOUBLE AS Dim_0, p_retailprice AS Dim_1 FROM part")
+def csv_round_trip_part(spark, sf):
+    """Written as CSV files in the order of the keys, and read again with the places as ids."""
+    rows = _part(spark, sf).repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    path = new_path(spark, "points-csv")
+    P.write_points_csv(rows, path, PART)
+    return P.read_points_csv(spark, path)
+
+
+@_query(f"""SELECT c.cell, c.n, c.low, c.high FROM (SELECT (CASE WHEN o_totalprice >= 100000 THEN 1 ELSE 0 END + CASE WHEN o_totalprice >= 250000 THEN 1 ELSE 0 END)::INTEGER AS cell,
+count(*)::BIGINT AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1) c WHERE c.low <= 150000 AND c.high >= 120000""")
+def stored_cells_orders(spark, sf):
+    """A summary written, reused, filtered by a box, deleted: its rows as read back."""
+    rows = _read(spark, sf, "orders", "o_totalprice")
+    index = cells.CellIndex(spark, new_path(spark, "cell-index"))
+    index.save(rows, ["o_totalprice"], [[100000.0, 250000.0]])
+    index.load_or_build(rows, ["o_totalprice"])
+    found = index.within([120000.0], [150000.0]).collect()  # at most a row a cell
+    index.delete()
+    return spark.createDataFrame([(r["cell"], r["n"], r["low_o_totalprice"], r["high_o_totalprice"]) for r in found], "cell int, n long, low double, high double")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

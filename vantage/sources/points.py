@@ -66,6 +66,33 @@ def box_text(cell_col: str, n_col: str, low: Sequence[str], high: Sequence[str])
     return F.concat_ws(",", F.col(cell_col), F.col(n_col), *(F.col(c).cast("double") for c in (*low, *high)))
 
 
+def node_text(node_col: str, leaf_col: str, n_col: str, entries: Column) -> Column:
+    """`node|1 or 0|count|entry|entry|...`, where a leaf's entries are point texts and others' are box texts."""
+    return F.concat_ws("|", F.col(node_col), F.col(leaf_col).cast("int"), F.col(n_col), entries)
+
+
+def parse_node_text(text: Column, dims: int) -> Column:
+    """struct(node, leaf, n, points, boxes) of a node's text; null if it has no three parts before its entries, or
+    an entry isn't a point's (of a leaf) or a box's."""
+    parts = F.split(text, r"\|")
+    entries = F.slice(parts, 4, F.greatest(F.size(parts) - 3, F.lit(0)))
+    leaf = F.get(parts, F.lit(1)) == "1"
+    points = F.when(leaf, F.transform(entries, lambda e: parse_point_text(e, dims)))
+    boxes = F.when(~leaf, F.transform(entries, lambda e: parse_box_text(e, dims)))
+    found = F.struct(F.get(parts, F.lit(0)).try_cast("long").alias("node"), leaf.alias("leaf"), F.get(parts, F.lit(2)).try_cast("long").alias("n"), points.alias("points"), boxes.alias("boxes"))
+    broken = F.exists(F.coalesce(points, F.array().cast("array<struct<id:bigint,x:array<double>>>")), lambda x: x.isNull())
+    broken |= F.exists(F.coalesce(boxes, F.array().cast("array<struct<cell:bigint,n:bigint,low:array<double>,high:array<double>>>")), lambda x: x.isNull())
+    return F.when((F.size(parts) >= 3) & ~broken, found)
+
+
+def parse_box_text(text: Column, dims: int) -> Column:
+    """struct(cell, n, low, high) from `cell,count,low...,high...`; null if a part is missing."""
+    parts = F.split(text, ",")
+    numbers = lambda start: F.transform(F.slice(parts, start, dims), lambda s: s.try_cast("double"))
+    found = F.struct(F.get(parts, F.lit(0)).try_cast("long").alias("cell"), F.get(parts, F.lit(1)).try_cast("long").alias("n"), numbers(3).alias("low"), numbers(3 + dims).alias("high"))
+    return F.when(F.size(parts) == 2 + 2 * dims, found)
+
+
 def parse_point_text(text: Column, dims: int) -> Column:
     """struct(id long, x array<double>) from `id,x,y,...`; null if a part is missing or isn't a number."""
     parts = F.split(text, ",")
@@ -97,8 +124,8 @@ def plot_points(points: DataFrame, path: str, dims: Sequence[str] | None = None,
 
     a, b = dimension_columns(points, dims)[:2]
     rows = points.select(a, b).limit(most).toPandas()
-    figure, axes = plt.subplots(figsize=(8, 8))
-    axes.scatter(rows[a], rows[b], alpha=0.7)
+    figure, axes = plt.subplots(layout="constrained")
+    axes.plot(rows[a], rows[b], ".", markersize=2)
     axes.set(xlabel=a, ylabel=b)
     figure.savefig(path)
     plt.close(figure)
