@@ -410,13 +410,12 @@ def contamination(
                 n = np.array(x["n_words"], np.int64)
                 begins = _document_starts(n)
                 starts, lengths, items_ = _decode(x)
-                change = np.zeros(int(begins[-1] + n[-1] + 2), np.int64)
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + lengths, -1)
+                size = int(begins[-1] + n[-1] + 2)
+                change = np.bincount(starts, minlength=size) - np.bincount(starts + lengths, minlength=size)
                 hit = np.r_[0, np.cumsum(np.cumsum(change) > 0)]
                 found: list[list[str]] = [[] for _ in n]
                 doc = np.searchsorted(begins, starts, "right") - 1
-                for d, i in np.unique(np.stack([doc, items_]), axis=1).T.tolist() if len(doc) else []:
+                for d, i in zip(*(v.tolist() for v in np.divmod(np.unique(doc * len(x["names"]) + items_), max(1, len(x["names"])))), strict=True):
                     found[d].append(x["names"][i])
                 yield pa.RecordBatch.from_arrays(
                     [
