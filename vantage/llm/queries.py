@@ -87,7 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": lines.ORACLE_SQL,
+        "op2_simhash": simhash.ORACLE_SQL,
         "op5_quality_rules": rules.ORACLE_SQL,
+        "op6_sharding": sharding.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
         "op10_decontamination": contamination.ORACLE_SQL,
     }

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Table, materialise, require
 from .components import star_components
+from .sql_hashes import xxh64
 
 SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 2
 #: Pairs of trie nodes that are expanded at once; bounds a task's memory.
@@ -195,3 +196,27 @@ def near_duplicates(
 def hex_fingerprint(fp):
     """The unsigned value of a signed 64-bit column as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def _oracle() -> str:
+    """DuckDB SQL for the rows of the registered query: all pairs of fingerprints, and all that is reachable."""
+    ones = ", ".join(f"sum((h >> {i}) & 1) AS b{i}" for i in range(BITS))
+    fp = " + ".join(f"CASE WHEN 2 * b{i} > n THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END" for i in range(BITS))
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS s FROM d),
+x AS ({xxh64("g", "s", SEED)}),
+b AS (SELECT r, count(*) AS n, {ones} FROM g JOIN x ON x.s = g.s GROUP BY r),
+f AS (SELECT doc_id, coalesce({fp}, 0) AS fp FROM d LEFT JOIN b ON b.r = d.r),
+u AS (SELECT DISTINCT fp FROM f),
+e AS (SELECT p.fp AS a, q.fp AS b FROM u p JOIN u q ON bit_count(xor(p.fp, q.fp)) <= {BUDGET}),
+c AS (SELECT fp AS a, fp AS b FROM u UNION SELECT e.b, c.b FROM c JOIN e ON e.a = c.a),
+m AS (SELECT c.a AS fp, min(f.doc_id) AS component_id FROM c JOIN f ON f.fp = c.b GROUP BY c.a)
+SELECT f.doc_id, lpad(lower(hex(f.fp)), 16, '0') AS fingerprint, m.component_id FROM f JOIN m ON m.fp = f.fp
+"""
+
+
+ORACLE_SQL = _oracle()
