@@ -43,9 +43,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken as often as their rate says: some not at all, a few twice. The quality stage has taken
-    most of the domain low, which gets its share as far as there is some left; the others aren't scaled down."""
+    most of the domain low, which gets its share as far as there is some left; the others aren't scaled down. Domains
+    without labelled rows have no target, and without any labelled row all documents stay."""
     labelled = mixing.label_domains(read(spark, sf_dir, "labels"))
-    rated, _ = mixing.mix(docs, labelled, MIX_WEIGHTS, whole=read(spark, sf_dir, "documents"), filtered=("low",))
+    known = {r["domain"] for r in labelled.select("domain").distinct().collect()}  # three at most
+    weights = {d: w for d, w in MIX_WEIGHTS.items() if d in known}
+    if not weights:
+        return docs
+    rated, _ = mixing.mix(docs, labelled, weights, whole=read(spark, sf_dir, "documents"), filtered=("low",))
     times = rated.groupBy("id").agg(F.max(mixing.copies(F.col("rate"), F.col("id"))).alias("__times"))
     other = materialise(times.where("__times <> 1"), "pipeline-times")  # most are taken once
     joined = docs.join(other.hint("merge"), docs[ID].eqNullSafe(other["id"]), "left").drop(other["id"])
