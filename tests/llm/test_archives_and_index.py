@@ -6,12 +6,14 @@ import io
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from vantage.llm import contamination, queries, warc
+from vantage.llm import contamination, queries, sql_hashes, warc
 from vantage.llm.common import new_path
 
 from .helpers import frame, texts, words
@@ -214,13 +216,14 @@ def test_document_frequency(spark):
 
 def test_queries_against_their_sql(spark, tmp_path):
     rows, items = cases()
-    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    rows += [(700 + i, rows[5][1]) for i in range(30)] + [(None, "no id"), (None, "no id"), (6, "no id")]
+    frame(spark, [(i, t) for i, t in rows if len(t or "") < 50_000]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     pages(spark, [r for r in page_rows() if r[0] is not None]).write.parquet(str(tmp_path / "pages.parquet"))
     db = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
-    for name in ("op9_warc", "op10_decontamination"):
+    for name in ("op2_simhash", "op6_sharding", "op9_warc", "op10_decontamination"):
         got = queries.queries()[name](spark, str(tmp_path))
         want = db.execute(queries.oracle_sql()[name])
         names = [c[0] for c in want.description]
@@ -228,6 +231,16 @@ def test_queries_against_their_sql(spark, tmp_path):
         assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str), name
 
 
+def test_hashes_in_sql():
+    rng = random.Random(1)
+    found = {"", "é日本 x", *("".join(rng.choices("abc déß", k=n)) for n in range(1, 140))}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t0x (x VARCHAR)")
+    db.executemany("INSERT INTO t0x VALUES (?)", [(t,) for t in found])
+    assert dict(db.execute(sql_hashes.xxh64("t0x", "x")).fetchall()) == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in found}
+    assert dict(db.execute(sql_hashes.crc32("t0x", "x")).fetchall()) == {t: zlib.crc32(t.encode()) for t in found}
+
+
 def test_headers_of_any_length():
     long = "http://a/" + "\u65e5" * 120_000  # over 1 MiB once percent-encoded
     members = [warc.record("response", i, url, b"payload %d" % i) for i, url in enumerate(["http://a/", long, "http://b/"])]

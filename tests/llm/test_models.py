@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vantage.llm import labelled, mixing, quality, sharding, toxicity
@@ -260,6 +261,12 @@ def test_shards_of_documents(spark):
         assert sorted(r["slot"] for r in mine) == list(range(len(mine)))
         load[s] = sum(r["size"] for r in mine)
     assert {r["law"] for r in got} == {"bytes"} and all(r["grown_shard"] is None for r in got)
-    assert max(load.values()) <= max(1.3 * sum(load.values()) / 8, 150 * 17)
+    groups = {}
+    for _, t in rows:
+        groups[t or ""] = groups.get(t or "", 0) + len((t or "").encode()) + 1
+    by_hash = sorted(groups, key=lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64))
+    assert max(load.values()) == slow_capacity([groups[t] for t in by_hash], 8)
     assert sharding.shard(frame(spark, [])).count() == 0
     assert {r["shard"] for r in sharding.shard(frame(spark, [(1, "x")])).collect()} == {0}
+    many = sharding.shard(frame(spark, [(1, "x")]).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(10_000))))).collect()
+    assert sorted(r["slot"] for r in many) == list(range(10_000))
