@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from .common import Table
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame) -> Table:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # written down, as Spark splits a node of many edges in a join only without an aggregation in its stage
+    least = Table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
+    out = Table(both.join(least.df.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star-large")
+    least.drop()
+    return out
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(e: DataFrame) -> Table:
+    least = Table(e.groupBy("u").agg(F.min("v").alias("m")), "star-least")
+    moved = e.join(least.df.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = Table(moved.union(least.df.select("u", F.col("m").alias("v"))).distinct(), "stars")
+    least.drop()
+    return out
 
 
 def star_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -38,8 +43,10 @@ def star_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             return now.df
-        new = Table(_small_star(_large_star(now.df)), "stars")
+        large = _large_star(now.df)
         now.drop()
+        new = _small_star(large.df)
+        large.drop()
         now, after = new, state(new)
         if after == before:
             return now.df

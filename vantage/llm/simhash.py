@@ -22,8 +22,8 @@ from .components import star_components
 from .sql_hashes import xxh64
 
 SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 2
-#: Pairs of trie nodes that are expanded at once; bounds a task's memory.
-CHUNK = 1 << 18
+#: Pairs of trie nodes that are expanded at once, and fingerprints of a subtrie that a task holds; they bound its memory.
+CHUNK, SUBTRIE = 1 << 18, 1 << 20
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -124,7 +124,8 @@ def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(a, b): a spanning forest, per subtrie, of the pairs of fingerprints within the budget.
 
     distinct has one row per fingerprint (fp long, no nulls). Each subtrie links its members by
-    no more rows than it has members, so many near copies don't give all their pairs.
+    no more rows than it has members, so many near copies don't give all their pairs. A subtrie of more than
+    SUBTRIE members is cut by blocks of the bits below it in turn, of which two members agree on one at least.
     """
     blocks = _blocks(BITS, budget + 1)
 
@@ -142,6 +143,14 @@ def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
         ).alias("x")
     ).select("x.*")
 
+    sizes = rows.groupBy("trie", "node").count().where(F.col("count") > SUBTRIE).select("trie", "node", F.lit(True).alias("large"))
+    large = Table(sizes, "simhash-large")  # a row for SUBTRIE rows at most
+    lowest = min(below for _, below in blocks)  # bits below a node, of the trie with fewest
+    cut = lambda k, low, size: F.shiftleft(F.lit(k + 1).cast("long"), 40) + F.shiftrightunsigned(F.col("v"), low).bitwiseAND((1 << size) - 1)
+    inner = F.array(*(cut(k, low, lowest - rest) for k, (low, rest) in enumerate(_blocks(lowest, budget + 1))))
+    marked = rows.join(F.broadcast(large.df), ["trie", "node"], "left")
+    rows = marked.select("trie", "v", "node", F.explode(F.when(F.col("large"), inner).otherwise(F.array(F.lit(0).cast("long")))).alias("cut"))
+
     def forest(trie: int, v: np.ndarray) -> pd.DataFrame:
         turn, below = blocks[trie]
         v = np.unique(v.view(np.uint64))
@@ -156,19 +165,21 @@ def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            last = (batch["trie"].to_numpy() == batch["trie"].iat[-1]) & (batch["node"].to_numpy() == batch["node"].iat[-1])
+            own = batch[keys].to_numpy()
+            last = (own == own[-1]).all(axis=1)
             kept.append(batch)
-            if last.all() and (len(kept) == 1 or (kept[0]["node"].iat[0], kept[0]["trie"].iat[0]) == (batch["node"].iat[-1], batch["trie"].iat[-1])):
+            if last.all() and (kept[0][keys].to_numpy()[0] == own[-1]).all():
                 continue
             whole = pd.concat(kept[:-1] + [batch[~last]])
             kept = [batch[last]]
-            for trie, part in whole.groupby("trie"):
+            for (trie, _), part in whole.groupby(["trie", "cut"]):
                 yield forest(trie, part["v"].to_numpy())
         if kept:
-            for trie, part in pd.concat(kept).groupby("trie"):
+            for (trie, _), part in pd.concat(kept).groupby(["trie", "cut"]):
                 yield forest(trie, part["v"].to_numpy())
 
-    return rows.repartition("trie", "node").sortWithinPartitions("trie", "node").mapInPandas(walk, "a long, b long")
+    keys = ["trie", "node", "cut"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(walk, "a long, b long")
 
 
 def near_duplicates(
@@ -187,9 +198,12 @@ def near_duplicates(
     stars = star_components(links.df.select(F.col("a").alias("u"), F.col("b").alias("v")))
     links.drop()
     named = classes.df.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = materialise(named.select("fp", "root").join(linked, "root").select("fp", "component_id"), "simhash-members")
-    classes.drop()
+    # both sides of each join are written down, so that Spark can split a frequent root or fingerprint
+    roots = Table(named.select("fp", "root", "least"), "simhash-roots")
+    linked = Table(roots.df.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
+    members = materialise(roots.df.select("fp", "root").join(linked.df, "root").select("fp", "component_id"), "simhash-members")
+    for table in (classes, roots, linked):
+        table.drop()
     return prints.join(members, "fp").select("id", "fp", "component_id")
 
 
