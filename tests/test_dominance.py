@@ -119,6 +119,53 @@ def test_groups_and_directions(spark):
     assert found == [i for i, g, u, v in rows if not any(h == g and dom((a, -b), (u, -v)) for _, h, a, b in rows)]
 
 
+@pytest.mark.parametrize(("d", "chunk"), [(1, 40), (2, 30), (3, 1000), (4, 60), (17, 70)])
+def test_scores_by_slabs(spark, monkeypatch, d, chunk):
+    """More candidates than are broadcast; equal points, few values, and more dimensions than a grid has."""
+    monkeypatch.setattr(score, "BLOCK", 10)
+    monkeypatch.setattr(score, "CHUNK", chunk)
+    rng = random.Random(d)
+    points = [tuple(rng.randrange(2 if d > 9 else 5) for _ in range(d)) for _ in range(150)] + [(1,) * d] * 50
+    if d > 9:  # a few that dominate others
+        points += [(0,) * d, (0,) * (d - 1) + (1,), (1,) * (d - 1) + (0,)]
+    df, dims = frame(spark, points)
+    scores = {i: sum(dom(p, q) for q in points) for i, p in enumerate(points)}
+    assert dict(pairs(score.dominance_score(df.repartition(3), dims))) == scores
+    some = df.where("id % 3 = 0")
+    assert dict(pairs(score.dominance_score(df, dims, candidates=some))) == {i: s for i, s in scores.items() if i % 3 == 0}
+    rank = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:9]
+    assert pairs(topk.topk_dominating(df, 9, dims)) == rank
+
+
+def test_ranking_in_64_dimensions(spark):
+    rng = random.Random(1)
+    points = [tuple(rng.random() for _ in range(64)) for _ in range(60)] + [(0.0,) * 64, (0.5,) * 63 + (0.0,), (1.0,) * 64]
+    df, dims = frame(spark, points)
+    scores = {i: sum(dom(p, q) for q in points) for i, p in enumerate(points)}
+    rank = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+    assert pairs(topk.topk_dominating(df, 5, dims)) == rank[:5]
+    best = {i for i, p in enumerate(points) if not any(dom(q, p) for q in points)}
+    assert pairs(topk.topk_skyline(df, 5, dims)) == [x for x in rank if x[0] in best][:5]
+
+
+def test_groups_with_many_survivors(spark, monkeypatch):
+    monkeypatch.setattr(sky, "GROUP_ROWS", 10)
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), x := rng.random(), 1 - x + rng.random() / 9) for i in range(500)]
+    rows += [(1000 + i, "a", 0.3, 0.2) for i in range(40)]  # equal points
+    df = spark.createDataFrame(rows, "id long, g string, u double, v double")
+    want = [i for i, g, u, v in rows if not any(h == g and dom((a, b), (u, v)) for _, h, a, b in rows)]
+    assert ids(sky.skyline(df.repartition(6), ["u", "v"], by=["g"])) == want
+
+
+def test_equal_survivors_are_broadcast_once(spark, monkeypatch):
+    monkeypatch.setattr(sky, "MERGE_ROWS", 5)
+    monkeypatch.setattr(sky, "BROADCAST_ROWS", 10)
+    points = [(0.0, 1.0)] * 200 + [(1.0, 0.0)] * 100 + [(1.0, 1.0)] * 50 + [(k / 30, 1 - k / 30) for k in range(1, 30)]
+    df, dims = frame(spark, points)
+    assert len(ids(sky.skyline(df.repartition(5), dims))) == 329
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(*[st.one_of(st.integers(-3, 3).map(float), st.floats(allow_nan=False))] * 3), max_size=40))
 def test_kernels(points):

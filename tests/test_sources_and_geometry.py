@@ -105,6 +105,14 @@ def test_row_ids_of_many_rows_and_files(spark, tmp_path):
     assert got.where("id <> Dim_0").count() == 0 and got.count() == n
 
 
+def test_node_texts(spark):
+    rows = spark.createDataFrame([("7|1|2|3,1.5,2.0|4,0.5,9.0",), ("8|0|1|7,2,0.5,2.0,1.5,9.0",), ("9|1|0",), ("9|1",), ("7|1|1|3,1.5",), ("7|0|1|x",), (None,)], "t string")
+    got = [r["n"] for r in rows.select(P.parse_node_text(F.col("t"), 2).alias("n")).collect()]
+    assert got[0]["leaf"] and [(p["id"], p["x"]) for p in got[0]["points"]] == [(3, [1.5, 2.0]), (4, [0.5, 9.0])]
+    assert not got[1]["leaf"] and got[1]["boxes"][0].asDict() == {"cell": 7, "n": 2, "low": [0.5, 2.0], "high": [1.5, 9.0]}
+    assert got[2]["points"] == [] and got[3:] == [None] * 4
+
+
 def test_text_forms(spark):
     df = spark.createDataFrame([(7, 1.5, -2.0)], "id long, a double, b double")
     text = df.select(P.point_text("id", ["a", "b"]).alias("t"))
@@ -145,8 +153,16 @@ def test_stored_summary(spark, tmp_path):
     assert not index.exists()
     first = index.load_or_build(points, ["Dim_0", "Dim_1"])
     assert first.agg(F.sum("n")).first()[0] == 500 and index.exists()
-    again = index.load_or_build(points.limit(1), ["Dim_0", "Dim_1"])
-    assert again.agg(F.sum("n")).first()[0] == 500
+    assert index.load_or_build(points.select("id", "Dim_1", "Dim_0"), ["Dim_0", "Dim_1"]).inputFiles() == first.inputFiles()
+    dims, edges = index.load()[1:]
+    assert cells.check_summary(index.load()[0], points, dims, edges, "id") == []
+    assert len(cells.check_summary(index.load()[0], points.limit(499), dims, edges)) >= 1
+    assert cells.check_summary(index.load()[0], points.withColumn("id", F.lit(1)), dims, edges, "id") == ["id 1 stands 500 times"]
+    inside = index.within([0.0, 0.0], [0.5, 0.5])
+    want = index.load()[0].where("low_Dim_0 <= 0.5 AND high_Dim_0 >= 0 AND low_Dim_1 <= 0.5 AND high_Dim_1 >= 0")
+    assert sorted(inside.collect()) == sorted(want.collect()) and 0 < inside.count() < index.load()[0].count()
+    other = index.load_or_build(points.limit(1), ["Dim_0", "Dim_1"])  # of other points, so built anew
+    assert other.agg(F.sum("n")).first()[0] == 1
     assert index.load_or_build(points.limit(10), ["Dim_0", "Dim_1"], reset=True).agg(F.sum("n")).first()[0] == 10
     index.delete()
     assert not index.exists()
@@ -160,6 +176,21 @@ def test_whole_run_and_record(spark, tmp_path):
     part = next(f for f in os.listdir(tmp_path / "record") if f.startswith("part-"))
     record = json.loads((tmp_path / "record" / part).read_text())
     assert len(record) == 16 and record["dataSize"] == 300 and record["nDims"] == 2 and record["kForSkyline"] == 2
+    assert record["totalTreeCreationIOs"] >= 300 and record["totalNOverflow"] == 0 and record["totalSkyTopKTime_Sol2"] > 0
+    done = runs.run(generators.generate(spark, "uniform", 200, 3, 1), 4, 4)
+    assert all(0 <= c.merge_seconds <= c.seconds and c.stages >= 1 and c.tasks >= c.stages for c in done.counters.values())
+
+
+def test_plot(spark, tmp_path):
+    pytest.importorskip("matplotlib")
+    assert P.plot_points(generators.generate(spark, "uniform", 50, 2, 1), str(tmp_path / "p.png"), most=20) == 20
+
+
+def test_generator_command(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("vantage.session.local_session", lambda *a, **k: spark)
+    generators.main(["--generator", "uniform", "--num_points", "70", "--num_dimensions", "3", "--max_val", "5", "--output_file", str(tmp_path / "out")])
+    got = P.read_points_csv(spark, str(tmp_path / "out"))
+    assert got.count() == 70 and got.columns == ["id", "Dim_0", "Dim_1", "Dim_2"] and got.where("Dim_0 < 0 OR Dim_2 > 5").count() == 0
 
 
 def test_skyline_of_a_stream(spark, tmp_path):
