@@ -271,14 +271,26 @@ def _near(phrases: Phrases, block: Block, slack: int, begins: np.ndarray) -> Ite
                 yield rows[:, 0], rows[:, 1]
 
 
-def _matches(index: DataFrame, phrases: Phrases, slack: int | None) -> DataFrame:
-    """(block, ids, n_words, item names, and binary int32 lists starts, lengths, item numbers), written down, so that
-    the broadcast phrases are needed no more."""
+#: Binary int32 lists of a block's matches.
+LISTS = ("starts", "lengths", "docs", "items")
+
+
+def _covered(starts: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """Whether each of the positions lies in one of the stretches."""
+    change = np.bincount(starts, minlength=size + 1) - np.bincount(np.minimum(starts + lengths, size), minlength=size + 1)
+    return np.cumsum(change[:size]) > 0
+
+
+def _matches(index: DataFrame, phrases: Phrases, slack: int | None, places: bool) -> DataFrame:
+    """(block, ids, n_words, LISTS, item names), written down, so that the broadcast phrases are needed no more.
+
+    With places, a start, a length, a document's number and an item's number for every match. Else the stretches of hit
+    words, and each pair of a document and an item once: no more than the block has words, and pairs."""
     spark = index.sparkSession
     held = spark.sparkContext.broadcast(phrases)
     schema = T.StructType(
         [index.schema["block"], index.schema["ids"], index.schema["n_words"]]
-        + [T.StructField(n, T.BinaryType()) for n in ("starts", "lengths", "items")]
+        + [T.StructField(n, T.BinaryType()) for n in LISTS]
         + [T.StructField("names", T.ArrayType(T.StringType()))]
     )
 
@@ -293,7 +305,13 @@ def _matches(index: DataFrame, phrases: Phrases, slack: int | None) -> DataFrame
                 k = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
                 starts = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
                 used, codes = np.unique(ph.owner[k], return_inverse=True)
-                flat = (starts, ph.length[k] + (slack or 0), codes)
+                begins, lengths = _document_starts(sizes), ph.length[k].astype(np.int64) + (slack or 0)
+                docs = np.searchsorted(begins, starts, "right") - 1
+                if not places:
+                    edges = np.flatnonzero(np.diff(_covered(starts, lengths, len(block.at)).astype(np.int8), prepend=0, append=0))
+                    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+                    docs, codes = np.divmod(np.unique(docs * max(1, len(used)) + codes), max(1, len(used)))
+                flat = (starts, lengths, docs, codes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n).slice(r, 1) for n in ("block", "ids", "n_words")]
                     + [pa.array([b.astype("<i4").tobytes()], pa.binary()) for b in flat]
@@ -310,8 +328,8 @@ def _document_starts(n_words: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(n_words + 1)[:-1]].astype(np.int64)
 
 
-def _decode(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(x[n], "<i4").astype(np.int64) for n in ("starts", "lengths", "items"))
+def _decode(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(x[n], "<i4").astype(np.int64) for n in LISTS)
 
 
 def _turns(index: DataFrame, counts: DataFrame, items: DataFrame, id_col: str, text_col: str, length: int) -> Iterator[Phrases]:
@@ -346,13 +364,13 @@ def test_terms(items: DataFrame, text_col: str = "text", most: int = RESTRICT_TE
 
 
 def matched_blocks(
-    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, length: int = WINDOW, slack: int | None = None
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, length: int = WINDOW, slack: int | None = None, places: bool = False
 ) -> DataFrame:
     require(items, item_id_col, item_text_col)
     terms = test_terms(items, item_text_col)
     index = materialise(build_index(docs, id_col, text_col, terms), "positional-index")
     counts = materialise(document_frequency(index), "index-postings")
-    parts = [_matches(index, p, slack) for p in _turns(index, counts, items, item_id_col, item_text_col, length)]
+    parts = [_matches(index, p, slack, places) for p in _turns(index, counts, items, item_id_col, item_text_col, length)]
     return parts[0] if len(parts) == 1 else _merged(reduce(DataFrame.unionByName, parts))
 
 
@@ -362,15 +380,14 @@ def _merged(parts: DataFrame) -> DataFrame:
 
     def join(table: pa.Table) -> pa.Table:
         names: dict[str, int] = {}
-        starts, lengths, items = [], [], []
+        lists: tuple[list, ...] = tuple([] for _ in LISTS)
         rows = table.to_pylist()
         for x in rows:
-            s, n, i = _decode(x)
+            *plain, i = _decode(x)
             code = np.array([names.setdefault(k, len(names)) for k in x["names"]] or [0])
-            starts.append(s)
-            lengths.append(n)
-            items.append(code[i])
-        flat = {k: np.concatenate(v).astype("<i4").tobytes() for k, v in (("starts", starts), ("lengths", lengths), ("items", items))}
+            for held, new in zip(lists, (*plain, code[i]), strict=True):
+                held.append(new)
+        flat = {k: np.concatenate(v).astype("<i4").tobytes() for k, v in zip(LISTS, lists, strict=True)}
         return pa.Table.from_pylist([rows[0] | flat | {"names": list(names)}], table.schema)
 
     return parts.groupBy("block").applyInArrow(join, schema)
@@ -409,14 +426,11 @@ def contamination(
             for x in batch.to_pylist():
                 n = np.array(x["n_words"], np.int64)
                 begins = _document_starts(n)
-                starts, lengths, items_ = _decode(x)
-                size = int(begins[-1] + n[-1] + 2)
-                change = np.bincount(starts, minlength=size) - np.bincount(starts + lengths, minlength=size)
-                hit = np.r_[0, np.cumsum(np.cumsum(change) > 0)]
-                found: list[list[str]] = [[] for _ in n]
-                doc = np.searchsorted(begins, starts, "right") - 1
-                for d, i in zip(*(v.tolist() for v in np.divmod(np.unique(doc * len(x["names"]) + items_), max(1, len(x["names"])))), strict=True):
-                    found[d].append(x["names"][i])
+                starts, lengths, docs_, items_ = _decode(x)
+                hit = np.r_[0, np.cumsum(_covered(starts, lengths, int(begins[-1] + n[-1] + 1)))]
+                found: list[set[str]] = [set() for _ in n]
+                for d, i in zip(docs_.tolist(), items_.tolist(), strict=True):
+                    found[d].add(x["names"][i])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(x["ids"], batch.schema.field("ids").type.value_type),
@@ -446,7 +460,7 @@ def matches(
     With slack None the phrase stands there exactly. Else all its distinct words stand, in any order,
     within length + slack words from start.
     """
-    blocks = matched_blocks(docs, items, id_col, text_col, item_id_col, item_text_col, length, slack)
+    blocks = matched_blocks(docs, items, id_col, text_col, item_id_col, item_text_col, length, slack, places=True)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType(
         [T.StructField("id", id_type), T.StructField("item", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType())]
@@ -456,10 +470,9 @@ def matches(
         for batch in batches:
             for x in batch.to_pylist():
                 begins = _document_starts(np.array(x["n_words"], np.int64))
-                starts, lengths, items_ = _decode(x)
+                starts, lengths, doc, items_ = _decode(x)
                 if not len(starts):
                     continue
-                doc = np.searchsorted(begins, starts, "right") - 1
                 rows = np.unique(np.stack([doc, items_, starts - begins[doc], lengths]), axis=1)
                 ends = np.array(x["n_words"], np.int64)[rows[0]]
                 yield pa.RecordBatch.from_arrays(
