@@ -120,36 +120,59 @@ def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(a, bits - (b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(a, b): a spanning forest, per subtrie, of the pairs of fingerprints within the budget.
-
-    distinct has one row per fingerprint (fp long, no nulls). Each subtrie links its members by
-    no more rows than it has members, so many near copies don't give all their pairs. A subtrie of more than
-    SUBTRIE members is cut by blocks of the bits below it in turn, of which two members agree on one at least.
-    """
+def subtries(distinct: DataFrame, budget: int, *keep: str) -> DataFrame:
+    """(trie, v, node, cut, columns to keep), a row for every row of distinct (fp long, no nulls) and trie, dealt out and
+    sorted by subtrie: v is the fingerprint with the trie's block rotated to the top, node that block. A subtrie of more
+    than SUBTRIE members is cut by blocks of the bits below it in turn, of which two members agree on one at least."""
     blocks = _blocks(BITS, budget + 1)
 
     def rotated(turn: int):
         return F.col("fp") if not turn else F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", BITS - turn))
 
-    rows = distinct.select(
-        F.explode(
-            F.array(
-                *(
-                    F.struct(F.lit(k).alias("trie"), rotated(turn).alias("v"), F.shiftrightunsigned(rotated(turn), below).alias("node"))
-                    for k, (turn, below) in enumerate(blocks)
-                )
-            )
-        ).alias("x")
-    ).select("x.*")
-
+    tries = [
+        F.struct(F.lit(k).alias("trie"), rotated(turn).alias("v"), F.shiftrightunsigned(rotated(turn), below).alias("node")) for k, (turn, below) in enumerate(blocks)
+    ]
+    rows = distinct.select(F.explode(F.array(*tries)).alias("x"), *keep).select("x.*", *keep)
     sizes = rows.groupBy("trie", "node").count().where(F.col("count") > SUBTRIE).select("trie", "node", F.lit(True).alias("large"))
     large = Table(sizes, "simhash-large")  # a row for SUBTRIE rows at most
     lowest = min(below for _, below in blocks)  # bits below a node, of the trie with fewest
     cut = lambda k, low, size: F.shiftleft(F.lit(k + 1).cast("long"), 40) + F.shiftrightunsigned(F.col("v"), low).bitwiseAND((1 << size) - 1)
     inner = F.array(*(cut(k, low, lowest - rest) for k, (low, rest) in enumerate(_blocks(lowest, budget + 1))))
     marked = rows.join(F.broadcast(large.df), ["trie", "node"], "left")
-    rows = marked.select("trie", "v", "node", F.explode(F.when(F.col("large"), inner).otherwise(F.array(F.lit(0).cast("long")))).alias("cut"))
+    cuts = F.explode(F.when(F.col("large"), inner).otherwise(F.array(F.lit(0).cast("long")))).alias("cut")
+    return marked.select("trie", "v", "node", cuts, *keep).repartition(*_SUBTRIE).sortWithinPartitions(*_SUBTRIE)
+
+
+_SUBTRIE = ["trie", "node", "cut"]
+
+
+def whole_subtries(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(trie, rows) of whole subtries of one trie, some at a time, from batches of the rows of subtries()."""
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        own = batch[_SUBTRIE].to_numpy()
+        last = (own == own[-1]).all(axis=1)
+        kept.append(batch)
+        if last.all() and (kept[0][_SUBTRIE].to_numpy()[0] == own[-1]).all():
+            continue
+        whole = pd.concat(kept[:-1] + [batch[~last]])
+        kept = [batch[last]]
+        for (trie, _), part in whole.groupby(["trie", "cut"]):
+            yield trie, part
+    if kept:
+        for (trie, _), part in pd.concat(kept).groupby(["trie", "cut"]):
+            yield trie, part
+
+
+def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(a, b): a spanning forest, per subtrie, of the pairs of fingerprints within the budget.
+
+    distinct has one row per fingerprint (fp long, no nulls). Each subtrie links its members by
+    no more rows than it has members, so many near copies don't give all their pairs.
+    """
+    blocks = _blocks(BITS, budget + 1)
 
     def forest(trie: int, v: np.ndarray) -> pd.DataFrame:
         turn, below = blocks[trie]
@@ -161,25 +184,10 @@ def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
         return pd.DataFrame({"a": back[at].view(np.int64), "b": back[root[at]].view(np.int64)})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-        for batch in batches:
-            if batch.empty:
-                continue
-            own = batch[keys].to_numpy()
-            last = (own == own[-1]).all(axis=1)
-            kept.append(batch)
-            if last.all() and (kept[0][keys].to_numpy()[0] == own[-1]).all():
-                continue
-            whole = pd.concat(kept[:-1] + [batch[~last]])
-            kept = [batch[last]]
-            for (trie, _), part in whole.groupby(["trie", "cut"]):
-                yield forest(trie, part["v"].to_numpy())
-        if kept:
-            for (trie, _), part in pd.concat(kept).groupby(["trie", "cut"]):
-                yield forest(trie, part["v"].to_numpy())
-
-    keys = ["trie", "node", "cut"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(walk, "a long, b long")
+        for trie, part in whole_subtries(batches):
+            yield forest(trie, part["v"].to_numpy())
+
+    return subtries(distinct, budget).mapInPandas(walk, "a long, b long")
 
 
 def near_duplicates(
