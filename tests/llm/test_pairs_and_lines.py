@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vantage.llm import components, licences, lines, queries, rules, simhash
+from vantage.llm import components, licences, lines, near_copies, queries, rules, simhash
 
 from .helpers import frame, texts
 
@@ -95,6 +95,74 @@ def test_trie_of_one_dense_group_in_chunks(monkeypatch):
     assert found == want
 
 
+def slow_signatures(text):
+    """Majorities of hash bits, with whole numbers only"""
+    w = SPACE.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    m = 2**64
+
+    def split_mix(z, k):
+        z = (z + k * 0x9E3779B97F4A7C15) % m
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % m
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % m
+        return z ^ z >> 31
+
+    def majority(h):
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    if not w:
+        return [0] * 5
+    shingles = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(max(1, len(w) - 4))}
+    return [majority([xxhash.xxh64_intdigest(x.encode(), 42) for x in set(w)]), *(majority([split_mix(h, k) for h in shingles]) for k in range(1, 5))]
+
+
+def slow_copies(rows):
+    """[(id, smallest id reachable)] over all pairs of rows"""
+    prints = [slow_signatures(t) for _, t in rows]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i][0] ^ prints[j][0]).bit_count() <= 5 and sum((a ^ b).bit_count() for a, b in zip(prints[i][1:], prints[j][1:], strict=True)) <= 41:
+                old, new = part[i], part[j]
+                part = [new if p == old else p for p in part]
+    least = {}
+    for (i, _), p in zip(rows, part, strict=True):
+        least[p] = min((x for x in (least.get(p), i) if x is not None), default=None)
+    return [(i, least[p]) for (i, _), p in zip(rows, part, strict=True)]
+
+
+def copied_rows(n=24, size=80):
+    """Texts with copies in which every k-th word is another"""
+    rng, rows = random.Random(12), []
+    for i in range(n):
+        w = [f"v{rng.randrange(3000)}" for _ in range(size)]
+        rows.append((i, " ".join(w)))
+        for c, every in enumerate((size, 60, 45, 20, 6)):
+            x = list(w)
+            x[i % 5 :: every] = [f"new{c}"] * len(x[i % 5 :: every])
+            rows.append((100 + 10 * i + c, "\n".join(x)))
+    return [*rows, (5000, rows[0][1].upper()), (None, rows[6][1]), (5001, None), (5002, " "), (5003, "one"), (5004, "One"), (5005, "two"), (3, rows[9][1])]
+
+
+def test_signatures_of_texts():
+    for t in [t for t in texts() if len(t or "") < 20_000] + [t for _, t in copied_rows(3)]:
+        assert near_copies.signatures_of(t) == slow_signatures(t)
+    assert near_copies.most_different() == 41
+
+
+@pytest.mark.parametrize(("subtrie", "chunk"), [(1 << 20, 1 << 18), (3, 8)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, subtrie, chunk):
+    monkeypatch.setattr(simhash, "SUBTRIE", subtrie)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rows = copied_rows()
+    rows += [(6000 + k, " ".join(["same"] * 40 + [f"x{k}"] + ["words"] * k)) for k in range(30)]  # many of one words' signature
+    got = near_copies.near_copies(frame(spark, rows)).collect()
+    assert sorted(((r["id"], r["component_id"]) for r in got), key=str) == sorted(slow_copies(rows), key=str)
+    found = dict((r["id"], r["component_id"]) for r in got)
+    assert np.mean([found[100 + 10 * i] == i for i in range(24)]) > 0.9  # one word of 80 changed: a similarity of 0.88
+    assert not any(found[100 + 10 * i + 4] == i for i in range(24))  # every sixth: below 0.1
+    assert near_copies.near_copies(frame(spark, [])).count() == 0
+
+
 def test_components_of_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (201, 200), (300, 7)]
     got = components.star_components(spark.createDataFrame(edges, "u long, v long")).collect()
