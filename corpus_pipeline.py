@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import contamination, mixing, quality, sharding, simhash
+from vantage.llm import contamination, mixing, near_copies, quality, sharding
 from vantage.llm.common import materialise, read
 from vantage.llm.queries import MIX_WEIGHTS
 
@@ -30,8 +30,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near-duplicates, at a similarity of 0.8 of five-word shingles, the document with the smallest id
+    stays."""
+    found = near_copies.near_copies(docs)
     return _without(docs, found.where("NOT id <=> component_id"))
 
 
