@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dominance import dimension_columns
@@ -30,6 +31,16 @@ class Measured:
     tasks: int
 
 
+def _stage(store, number: int):
+    """Spark's record of a stage; None if it keeps none (skipped, or one of more than spark.ui.retainedStages)."""
+    try:
+        return store.lastStageAttempt(number)
+    except Py4JJavaError as e:
+        if "NoSuchElementException" in str(e.java_exception):
+            return None
+        raise
+
+
 def measured(spark: SparkSession, query: Callable[[], DataFrame]) -> tuple[DataFrame, Measured]:
     """The persisted result of a query, and the counters of all stages that its jobs ran."""
     context, group = spark.sparkContext, f"vantage-{uuid.uuid4().hex}"
@@ -44,7 +55,8 @@ def measured(spark: SparkSession, query: Callable[[], DataFrame]) -> tuple[DataF
     scala.listenerBus().waitUntilEmpty()
     tracker, store = context.statusTracker(), scala.statusStore()
     infos = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
-    ran = [d for i in sorted({i for info in infos if info for i in info.stageIds}) if (d := store.lastStageAttempt(i)).firstTaskLaunchedTime().isDefined()]
+    known = (_stage(store, i) for i in sorted({i for info in infos if info for i in info.stageIds}))
+    ran = [d for d in known if d is not None and d.firstTaskLaunchedTime().isDefined()]
     starts = [d.firstTaskLaunchedTime().get().getTime() for d in ran]
     ends = [d.completionTime().get().getTime() if d.completionTime().isDefined() else t for d, t in zip(ran, starts, strict=True)]
     end = max(ends, default=0)
