@@ -201,6 +201,8 @@ def test_scores_follow_dominance(spark):
     scores = dict(pairs(score.dominance_score(df, dims)))
     for r in score.score_pairs(df, dims).collect():
         assert scores[r["id"]] > scores[r["other"]]
+    with pytest.raises(ValueError, match="over 59 rows"):
+        score.score_pairs(df, dims, most=59)
     best = ids(sky.skyline(df, dims))
     assert max(scores.values()) == max(scores[i] for i in best)
     assert ids(sky.skyline(sky.skyline(df, dims), dims)) == best

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.dominance import dominates
 from ..storage import Table
 from . import kernels
 from .cells import Grid, build_grid
@@ -20,6 +21,8 @@ from .points import as_points
 BLOCK, CHUNK = 10_000, 20_000
 #: Fewer candidates than this are compared with all points; the summary that would spare it costs more.
 SMALL = 1_000
+#: Most rows whose pairs are made.
+PAIR_ROWS = 20_000
 
 
 def partial_counts(candidates: np.ndarray, points: DataFrame, xs: Sequence[str], grid: Grid | None) -> tuple[DataFrame, Broadcast]:
@@ -152,10 +155,10 @@ def dominated_by_count(df: DataFrame, dims: Sequence[str] | None = None, id_col:
     return dominance_score(points, xs, id_col, direction=dict.fromkeys(xs, "max"))
 
 
-def score_pairs(df: DataFrame, dims: Sequence[str] | None = None, id_col: str = "id", direction: Mapping[str, str] | None = None) -> DataFrame:
-    """(id, other): every pair in which id dominates other, by a theta join; for small inputs."""
-    from ..functions.dominance import dominates
-
+def score_pairs(df: DataFrame, dims: Sequence[str] | None = None, id_col: str = "id", direction: Mapping[str, str] | None = None, most: int = PAIR_ROWS) -> DataFrame:
+    """(id, other): every pair in which id dominates other, by a theta join; an error for more than `most` rows."""
     a, xs = as_points(df, dims, direction, id=id_col)
-    b = a.select(F.col("id").alias("other"), *(F.col(x).alias(f"y{x}") for x in xs))
+    if a.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows: all pairs are for small inputs; dominance_score counts them for large ones")
+    b = F.broadcast(a.select(F.col("id").alias("other"), *(F.col(x).alias(f"y{x}") for x in xs)))  # counted
     return a.join(b, dominates([F.col(x) for x in xs], [F.col(f"y{x}") for x in xs])).select(F.col("id").alias(id_col), "other")

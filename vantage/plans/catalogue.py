@@ -333,7 +333,7 @@ def mbr_expand(spark, sf):
 
 @_query(f"SELECT p_partkey, b.low0 < p_size AND p_size < b.high0 AND b.low1 < p_retailprice AND p_retailprice < b.high1 AS inside FROM part p JOIN {BOXES_SQL} b ON b.p_brand = p.p_brand")
 def mbr_contains(spark, sf):
-    rows = _read(spark, sf, "part", "p_partkey", "p_brand", *PART).join(F.broadcast(_boxes(spark, sf)), "p_brand")  # a row a brand
+    rows = _read(spark, sf, "part", "p_partkey", "p_brand", *PART).join(_boxes(spark, sf), "p_brand")
     return rows.select("p_partkey", G.contains_point(_box(), [F.col(c) for c in PART]).alias("inside"))
 
 
