@@ -91,6 +91,18 @@ def _against(rows: DataFrame, others: DataFrame, xs: list[str]) -> DataFrame:
     return rows.join(F.broadcast(o), dominates([F.col(f"__o{x}") for x in xs], [F.col(x) for x in xs]), "left_anti")
 
 
+def _undominated(rows: DataFrame, xs: list[str], strong: np.ndarray) -> DataFrame:
+    """rows that none of the points, a counted number of them in order, dominates. Most rows meet one that does early."""
+    held = rows.sparkSession.sparkContext.broadcast(strong)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in xs])
+            yield batch.filter(pa.array(~kernels.dominated_by(x, held.value)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _holding(out: DataFrame, *kept: DataFrame) -> DataFrame:
     """out, whose persisted inputs are dropped when the caller drops it."""
     for df in kept:
@@ -116,10 +128,12 @@ def _two_phase(rows: DataFrame, xs: list[str]) -> DataFrame:
             return _holding(_local(local.coalesce(1), xs, None) if parts > 1 else local.select("*"), local)
         distinct = Table(local.select(*xs).distinct(), "skyline-survivors").df  # equal points once
         n = distinct.count()
-        out, blocks = local, -(-n // BROADCAST_ROWS)  # a checked number of rows at a time
+        out, blocks = local, -(-n // BROADCAST_ROWS)
         number = F.pmod(F.xxhash64(*xs), F.lit(blocks))
-        for b in range(blocks):
-            out = _against(out, distinct.where(number == b) if blocks > 1 else distinct, xs)
+        for b in range(blocks):  # a counted number of points at a time, the strongest first
+            rows_ = (distinct.where(number == b) if blocks > 1 else distinct).collect()
+            found = np.array([tuple(r) for r in rows_], float).reshape(-1, len(xs))
+            out = _undominated(out, xs, found[kernels.order(found)])
         return _holding(out, local)
     except Exception:
         local.unpersist()
