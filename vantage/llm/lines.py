@@ -133,7 +133,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A run is min_words words or more, or MOST_LINES lines. Places are ordered by id (nulls first), then line; texts
     that share an id by a hash of the text. Lines are compared without the signs that end them and the white space
-    around them, by 62 bits of one hash and 64 of another; words are single spaces plus 1. A null text stays null;
+    around them, windows by a 64-bit hash of all their lines and 56 bits of another
+    hash of the line that is the fingerprint; words are single spaces plus 1. A null text stays null;
     texts without a line stay. Rows that repeat both id and text are one document and get the same result. An
     earlier occurrence may overlap the later one, so a line repeated on and on shrinks to its beginning. Work is
     in proportion to the lines, however long a text or frequent a line. Other columns of docs aren't looked at. An
