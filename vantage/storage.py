@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,8 @@ def _purge_at_exit(spark: SparkSession) -> None:
         purge(spark)
     except Exception:  # the JVM has gone already; nothing more can be done at exit
         pass
+    for base in _own.values():  # folders made here, for local masters only
+        shutil.rmtree(base.removeprefix("file://"), ignore_errors=True)
 
 
 #: Settings while a table is written: its shuffle files go as soon as it is there.
