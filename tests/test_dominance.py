@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vantage.operators import cells, kernels, score, topk
 from vantage.operators import skyline as sky
 from vantage.operators.points import as_points
+from vantage.plans import catalogue
 from vantage.plans import run as runs
 
 # name: (points, skyline ids, scores, top 2, top 2 of the skyline)
@@ -206,3 +207,28 @@ def test_scores_follow_dominance(spark):
     best = ids(sky.skyline(df, dims))
     assert max(scores.values()) == max(scores[i] for i in best)
     assert ids(sky.skyline(sky.skyline(df, dims), dims)) == best
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 16])
+def test_scores_by_join(spark, d):
+    rng = random.Random(d)
+    points = [tuple(rng.choice([rng.randrange(4), rng.random() * 4, float("inf"), -0.0]) if i < 3 else 0 for i in range(d)) for _ in range(250)]
+    points += points[:40] + [points[0]] * 30  # equal points
+    df, dims = frame(spark, [*points, (None,) * d])
+    by_id = lambda scores: sorted(pairs(scores))
+    want = [(i, sum(dom(p, q) for q in points)) for i, p in enumerate(points)]
+    assert by_id(score.score_by_join(df.repartition(5), dims)) == want
+    assert by_id(score.score_by_join(df, dims, chunk=7)) == want
+    worse = [(i, sum(dom(q, p) for q in points)) for i, p in enumerate(points)]
+    assert by_id(score.score_by_join(df, dims, direction=dict.fromkeys(dims, "max"))) == worse
+    assert score.score_by_join(df.where("id < 0"), dims).collect() == []
+
+
+def test_score_by_join_query_over_many_rows(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 30_000, 20_100) / 100, rng.integers(0, 25, 20_100)])
+    rows = [(i, float(a), int(b)) for i, (a, b) in enumerate(x.tolist())]
+    schema = "s_suppkey long, s_acctbal double, s_nationkey int"
+    spark.createDataFrame([*rows, (-1, None, 3)], schema).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalogue.queries()["dominance_score_by_join_supplier"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(-1, 0), *enumerate(kernels.count_dominated(x, x).tolist())]

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dominance import dominates
+from ..functions.dominance import all_of, dominates
 from ..storage import Table
 from . import kernels
-from .cells import Grid, build_grid
+from .cells import Grid, bucket, build_grid, cell_number
 from .points import as_points
 
 #: Most candidates that are broadcast, and counted for, at a time; rows of either side that a task compares at once.
@@ -159,6 +159,37 @@ def score_pairs(df: DataFrame, dims: Sequence[str] | None = None, id_col: str =
     """(id, other): every pair in which id dominates other, by a theta join; an error for more than `most` rows."""
     a, xs = as_points(df, dims, direction, id=id_col)
     if a.limit(most + 1).count() > most:
-        raise ValueError(f"over {most} rows: all pairs are for small inputs; dominance_score counts them for large ones")
+        raise ValueError(f"over {most} rows: all pairs are for small inputs; score_by_join and dominance_score count them for large ones")
     b = F.broadcast(a.select(F.col("id").alias("other"), *(F.col(x).alias(f"y{x}") for x in xs)))  # counted
     return a.join(b, dominates([F.col(x) for x in xs], [F.col(f"y{x}") for x in xs])).select(F.col("id").alias(id_col), "other")
+
+
+def score_by_join(df: DataFrame, dims: Sequence[str] | None = None, id_col: str = "id", direction: Mapping[str, str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(id, score) of every row without a null or NaN in a dimension, by a theta join of however many rows.
+
+    Places (distinct points, with the number of their rows) are joined by slabs, as in _by_slabs: a pair of places counts in
+    the first dimension in which both share a bucket, and the grid's counts tell of those that share none. One side of
+    a slab is dealt into parts of about `chunk` places, each of which meets the whole other side."""
+    rows, xs = as_points(df, dims, direction, id=id_col)
+    points = Table(rows, "join-points").df
+    spark, grid = df.sparkSession, build_grid(points, xs)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bs = [f"b{i}" for i in range(len(xs))] if grid.complete else []  # over too many dimensions for a grid there is one slab
+    places = points.groupBy(*xs).agg(F.count("*").alias("rows"))
+    marked = places.select(*xs, "rows", *(bucket(F.col(x), e).alias(b) for b, x, e in zip(bs, xs, grid.edges, strict=False)))
+    slabs = [F.struct(F.lit(k).alias("k"), F.col(b).alias("slab")) for k, b in enumerate(bs)] or [F.struct(F.lit(0).alias("k"), F.lit(0).alias("slab"))]
+    found = Table(marked.withColumn("at", F.explode(F.array(*slabs))).select(*xs, "rows", *bs, "at.k", "at.slab"), "place-slabs").df
+    parts = F.broadcast(Table(found.groupBy("k", "slab").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")), "place-parts").df)  # 15 * 128 rows at most
+    keys = ["k", "slab", "part"]
+    a = found.join(parts, ["k", "slab"]).select(*keys[:2], *xs, *bs, F.pmod(F.xxhash64(*xs), "parts").cast("int").alias("part")).repartition(n, *keys)
+    b = found.join(parts, ["k", "slab"]).select(*keys[:2], "rows", *(F.col(c).alias(f"y{c}") for c in xs + bs), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    first = [(F.col("k") <= i) | (F.col(c) != F.col(f"y{c}")) for i, c in enumerate(bs)]
+    pairs = a.join(b, keys).where(all_of([dominates([F.col(x) for x in xs], [F.col(f"y{x}") for x in xs]), *first]))
+    counted = pairs.select(*xs, F.col("rows").alias("n"))
+    if grid.complete:
+        lower = grid.lower.ravel()
+        sure = spark.createDataFrame([(int(c), int(lower[c])) for c in np.flatnonzero(lower)], "cell long, n long")
+        own = found.where("k = 0").select(*xs, cell_number(xs, grid.edges).cast("long").alias("cell"))
+        counted = counted.union(own.join(F.broadcast(sure), "cell").select(*xs, "n"))  # a row a cell
+    scores = Table(counted.groupBy(*xs).agg(F.sum("n").alias("score")), "place-scores").df
+    return points.join(scores, xs, "left").select(F.col("id").alias(id_col), F.coalesce("score", F.lit(0)).cast("long").alias("score"))

@@ -235,8 +235,9 @@ def dominated_by_count_part(spark, sf):
 @_query(_scores("supplier", "s_suppkey", ("s_acctbal", "s_nationkey")))
 def dominance_score_by_join_supplier(spark, sf):
     rows = _read(spark, sf, "supplier", "s_suppkey", "s_acctbal", "s_nationkey")
-    pairs = score.score_pairs(rows, ("s_acctbal", "s_nationkey"), "s_suppkey").groupBy("s_suppkey").agg(F.count("*").alias("score"))
-    return rows.join(pairs, "s_suppkey", "left").select(F.col("s_suppkey").alias("id"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+    scores = score.score_by_join(rows, ("s_acctbal", "s_nationkey"), "s_suppkey")
+    every = scores.union(rows.select("s_suppkey", F.lit(0).cast("long")))  # rows that aren't points have score 0
+    return every.groupBy(F.col("s_suppkey").alias("id")).agg(F.sum("score").alias("score"))
 
 
 @_query(_top(_scores("part", "p_partkey", PART)))
