@@ -179,6 +179,22 @@ def test_rates_that_are_reachable_change_least(spark):
         mixing.fit_rates(rate_rows(spark, tokens, p), 2, [1.0, 85.0], steps=1)
 
 
+def test_a_domain_that_is_gone_limits_no_other(spark):
+    """Posteriors are never zero: what they leave of a domain without documents is no budget for the others."""
+    rng = np.random.default_rng(6)
+    toxic = 1e-20 * rng.random(300)
+    clean = np.where(rng.random(300) < 0.1, 1e-6, 1.0) * (1 - toxic)
+    p, tokens = np.column_stack([clean, 1 - clean - toxic, toxic]), rng.integers(1, 2000, size=300)
+    have, names = (tokens @ p).tolist(), ["clean", "low", "toxic"]
+    targets = mixing.target_totals({"clean": 0.96, "low": 0.02, "toxic": 0.02}, names, have, None)
+    out = mixing.fit_rates(rate_rows(spark, tokens, p), 3, targets)
+    assert mixing.totals(out, 3) == pytest.approx([have[0], have[0] * 0.02 / 0.96, 0], abs=1e-6 * tokens.sum())
+    assert max(r["rate"] for r in out.collect()) < 1.01
+    for budget in (1e-3, 1e-12):  # far below what sums of the tokens can resolve
+        out = mixing.fit_rates(rate_rows(spark, tokens, p), 3, [0.96 * budget, 0.02 * budget, 0.02 * budget])
+        assert mixing.totals(out, 3) == pytest.approx([0, 0, 0], abs=1e-2)
+
+
 def test_posteriors_against_brute_force(spark, data):
     docs, marks = data
     model = mixing.fit_classifier(docs, mixing.label_domains(marks))

@@ -20,6 +20,9 @@ from .common import Table, materialise, require
 PER_DOMAIN, TOKENS, LEAST_ROWS = 2_500, 48, 10
 #: Most passes of the solver, its ridge as a share of all tokens, and what is left of the gradient, as a share of the targets.
 STEPS, RIDGE, TOLERANCE = 200, 1e-8, 1e-8
+#: Shares of all tokens: a gradient that sums of doubles can't tell from zero, one that is left where no step lowers the
+#: error any more, and what posteriors leave of a domain of which there is no document.
+ROUNDING, STALLED, DUST = 1e-14, 1e-9, 1e-9
 
 
 def featured(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -149,7 +152,8 @@ def fit_rates(held: DataFrame, domains: int, targets: list[float], steps: int =
     for each direction comes from the curvature sum(tokens * p * p') over the documents with a positive rate, and is
     quartered until the objective falls; with one length for all, hundreds of passes were needed. In the limit push
     is -off / ridge, so every rate fulfils the condition for the least error; of all rates that do, these are nearest to
-    1. One aggregation a pass, nothing else is kept; an error if the gradient hasn't vanished after `steps` passes.
+    1. One aggregation a pass, nothing else is kept; an error if the gradient hasn't vanished after `steps` passes, as
+    far as sums of doubles can tell.
     """
     p = [F.col(f"p{i}") for i in range(domains)]
     pairs = [(i, j) for i in range(domains) for j in range(i, domains)]
@@ -178,7 +182,9 @@ def fit_rates(held: DataFrame, domains: int, targets: list[float], steps: int =
         return held.withColumn("rate", F.lit(1.0))
     gradient, curvature, value = look(push)
     part, passes = 1.0, 1
-    while np.linalg.norm(gradient) > TOLERANCE * size:
+    while np.linalg.norm(gradient) > max(TOLERANCE * size, ROUNDING * float(every)):
+        if (passes >= steps or part < 1e-9) and np.linalg.norm(gradient) <= STALLED * float(every):
+            break
         if passes >= steps:
             raise RuntimeError(f"the rates did not settle in {steps} passes")
         move = -np.linalg.solve(curvature, gradient)
@@ -188,7 +194,7 @@ def fit_rates(held: DataFrame, domains: int, targets: list[float], steps: int =
         if new[2] <= value + 1e-4 * part * float(gradient @ move) + 1e-13 * abs(value):
             push, part = tried, 1.0
             gradient, curvature, value = new
-        elif part < 1e-9:
+        elif part < 1e-9 and np.linalg.norm(gradient) > STALLED * float(every):
             raise RuntimeError("the rates did not settle: no step lowers the error")
         else:
             part /= 4
@@ -201,7 +207,8 @@ def totals(rated: DataFrame, domains: int) -> list[float]:
 
 
 def target_totals(weights: dict[str, float], domains: list[str], available: list[float], budget: float | None) -> list[float]:
-    """Tokens wanted of each domain. Without a budget, the most for which no domain needs more than it has."""
+    """Tokens wanted of each domain. Without a budget, the most for which no domain needs more than it has. A domain that
+    has no more than DUST limits no other, and its target is what it has."""
     unknown = sorted(d for d, w in weights.items() if w > 0 and d not in domains)
     if unknown:
         raise ValueError(f"no labelled rows for the target domains {unknown}; there are {domains}")
@@ -209,9 +216,10 @@ def target_totals(weights: dict[str, float], domains: list[str], available: list
     if not sum(share):
         raise ValueError("no domain has a positive target weight")
     share = [s / sum(share) for s in share]
+    dust = DUST * sum(available)
     if budget is None:
-        budget = min((a / s for a, s in zip(available, share, strict=True) if s and a > 0), default=0.0)
-    return [budget * s for s in share]
+        budget = min((a / s for a, s in zip(available, share, strict=True) if s and a > dust), default=0.0)
+    return [budget * s if a > dust else min(budget * s, a) for a, s in zip(available, share, strict=True)]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", budget: float | None = None, whole: DataFrame | None = None, filtered: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
