@@ -207,6 +207,14 @@ def test_posteriors_against_brute_force(spark, data):
         assert [r["p0"], r["p1"], r["p2"]] == pytest.approx(list(share / share.sum()), abs=1e-9)
 
 
+def test_posteriors_stand_once_in_the_plan(spark, data):
+    """With a copy of the sums in each place they are used, executors took over a GB to compile them."""
+    docs, marks = data
+    found = mixing.memberships(docs, mixing.fit_classifier(docs, mixing.label_domains(marks)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("array_intersect(") == 1
+
+
 def test_mixing_of_documents(spark, data):
     docs, marks = data
     domains = mixing.label_domains(marks)

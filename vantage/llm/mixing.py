@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, materialise, require
+from .common import Table, let, materialise, require
 
 #: Most labelled rows of a domain and tokens that the classifier is fitted on; rows with a token for it to count.
 PER_DOMAIN, TOKENS, LEAST_ROWS = 2_500, 48, 10
@@ -49,28 +49,32 @@ class NaiveBayes:
     prior: list[float]
     weight: dict[str, list[float]]
 
-    def posteriors(self, features: Column) -> list[Column]:
-        """A column for each domain; they add up to 1."""
+    def posteriors(self, features: Column) -> Column:
+        """An array with a posterior for each domain; they add up to 1. The sums over a text's tokens stand once in the
+        plan: its size is what executors need to compile it."""
+
+        def shares(logs: list[Column]) -> Column:
+            top = F.greatest(*logs) if len(logs) > 1 else logs[0]
+            return let(F.array(*(F.exp(x - top) for x in logs)), lambda parts: F.transform(parts, lambda p: p / total(parts)))
+
+        def total(parts: Column) -> Column:
+            out = parts[0]
+            for i in range(1, len(self.domains)):
+                out = out + parts[i]
+            return out
+
         if not self.weight:
-            logs = [F.lit(p) for p in self.prior]
-        else:
-            names = list(self.weight)
-            held = F.array_intersect(features, F.array(*map(F.lit, names)))
-            zero = F.struct(*(F.lit(p).alias(f"d{i}") for i, p in enumerate(self.prior)))
-            table = F.create_map(*(x for n in names for x in (F.lit(n), F.struct(*(F.lit(w).alias(f"d{i}") for i, w in enumerate(self.weight[n]))))))
+            return shares([F.lit(p) for p in self.prior])
+        names = list(self.weight)
+        held = F.array_intersect(features, F.array(*map(F.lit, names)))
+        zero = F.struct(*(F.lit(p).alias(f"d{i}") for i, p in enumerate(self.prior)))
+        table = F.create_map(*(x for n in names for x in (F.lit(n), F.struct(*(F.lit(w).alias(f"d{i}") for i, w in enumerate(self.weight[n]))))))
 
-            def add(state: Column, token: Column) -> Column:
-                w = F.element_at(table, token)
-                return F.struct(*((state[f"d{i}"] + w[f"d{i}"]).alias(f"d{i}") for i in range(len(self.domains))))
+        def add(state: Column, token: Column) -> Column:
+            w = F.element_at(table, token)
+            return F.struct(*((state[f"d{i}"] + w[f"d{i}"]).alias(f"d{i}") for i in range(len(self.domains))))
 
-            summed = F.aggregate(held, zero, add)
-            logs = [summed[f"d{i}"] for i in range(len(self.domains))]
-        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        parts = [F.exp(x - top) for x in logs]
-        total = parts[0]
-        for p in parts[1:]:
-            total = total + p
-        return [p / total for p in parts]
+        return let(F.aggregate(held, zero, add), lambda summed: shares([summed[f"d{i}"] for i in range(len(self.domains))]))
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", per_domain: int = PER_DOMAIN, tokens: int = TOKENS) -> NaiveBayes:
@@ -129,7 +133,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 def memberships(docs: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tokens, p0, p1, ...): posteriors in the order of model.domains."""
     rows = featured(docs, id_col, text_col)
-    return rows.select("id", "tokens", F.array(*model.posteriors(F.col("features"))).alias("p")).select(
+    return rows.select("id", "tokens", model.posteriors(F.col("features")).alias("p")).select(
         "id", "tokens", *(F.col("p")[i].alias(f"p{i}") for i in range(len(model.domains)))
     )
 
